@@ -77,9 +77,21 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def _features() -> list[Column]:
-    """What the forest splits: ratios, so that a long document is like a short one."""
+    """What the forest splits: how far a text is beyond what rules leave free.
+
+    All are ratios, so that a long document is like a short one, and most documents are
+    0 in all of them: symbols by character and by word, a mean word length outside 3 to
+    10 characters, and repeated words beyond three in ten. Lines that recur are common in
+    good documents; they count through the words that they repeat.
+    """
     words, chars = F.greatest("n_words", F.lit(1)), F.greatest("word_chars", F.lit(1))
-    return [F.col("word_chars") / words, F.col("n_symbols") / chars, F.col("n_dup_lines") / words, F.col("n_repeat_words") / words]
+    mean = F.col("word_chars") / words
+    return [
+        F.col("n_symbols") / chars,
+        F.col("n_symbols") / words,
+        F.greatest(F.lit(0.0), 3 - mean, mean - 10),
+        F.greatest(F.lit(0.0), F.col("n_repeat_words") / words - 0.3),
+    ]
 
 
 def _average_path(n: np.ndarray | int) -> np.ndarray:
