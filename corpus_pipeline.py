@@ -1,12 +1,17 @@
-"""The corpus pipeline: quality rules, near-dedup, substring dedup, decontamination, mixing."""
+"""The corpus pipeline: quality rules, near-dedup, substring dedup, decontamination, mixing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return
+the columns of documents. Stages are written as Parquet and read again by the next one.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidewright.llm import quality, simhash
+from tidewright.llm import decontaminate, mixing, quality, simhash, substring
 from tidewright.llm.common import materialize, table
 
 
@@ -20,9 +25,28 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.keep_one(docs)
 
 
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the passages that stand in an earlier one."""
+    return substring.remove_repeats(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not contaminated by the benchmark."""
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The training mix: a row for each use of a document, with its block, place and text."""
+    mixed = mixing.mix(docs).withColumnRenamed("doc_id", "used_id")
+    return mixed.join(docs.select("doc_id", "text", "lang"), F.col("used_id").eqNullSafe(F.col("doc_id"))).select("doc_id", "text", "lang", "source", "epoch", "block", "place", "tokens")
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality_rules", quality_rules),
     ("near_dedup", near_dedup),
+    ("substring_dedup", substring_dedup),
+    ("decontamination", decontamination),
+    ("source_mixing", source_mixing),
 ]
 
 #: The isolation forest and the gear hash are beyond SQL; tests/llm compares with brute force.

@@ -178,7 +178,7 @@ def _threshold(scored: DataFrame, labels: DataFrame, id_col: str, loss: float) -
     lost, caught = good[::-1].cumsum()[::-1] / good.sum(), bad[::-1].cumsum()[::-1] / bad.sum()
     allowed = np.flatnonzero((lost <= loss) & (caught > 0))
     best = allowed[np.argmax(caught[allowed] - lost[allowed])] if len(allowed) else BINS * 2
-    return best / BINS
+    return float(best) / BINS
 
 
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", trees: int = TREES, rows: int = ROWS, loss: float = LOSS) -> DataFrame:

@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidewright.llm import decontaminate, mixing, quality, simhash, substring, token_counts
+from tidewright.llm import chat, decontaminate, licenses, mixing, quality, simhash, substring, token_counts, toxicity, urls
 from tidewright.llm.common import table
 
 
@@ -15,6 +16,14 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.spans(table(spark, sf_dir, "documents"))
 
 
+def op2_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotate(table(spark, sf_dir, "conversations"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -27,6 +36,17 @@ def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The number in a page's path is its document's id; documents of quality 0 are bad."""
+    labelled = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("path_key"), (F.col("quality") == 0).alias("bad"))
+    return urls.judge(table(spark, sf_dir, "pages"), labelled)
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -39,11 +59,20 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_license_scans": op2_license_scans,
+    "op3_chat_formatting": op3_chat_formatting,
     "op4_decontamination": op4_decontamination,
     "op5_quality_rules": op5_quality_rules,
     "op6_simhash_dedup": op6_simhash_dedup,
+    "op7_url_filters": op7_url_filters,
+    "op8_toxicity": op8_toxicity,
     "op9_mixing": op9_mixing,
     "op10_token_counts": op10_token_counts,
     "pipeline": corpus_pipeline.run,
 }
-ORACLE_SQL: dict[str, str] = {"op4_decontamination": decontaminate.ORACLE_SQL, "op9_mixing": mixing.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op2_license_scans": licenses.ORACLE_SQL,
+    "op3_chat_formatting": chat.ORACLE_SQL,
+    "op4_decontamination": decontaminate.ORACLE_SQL,
+    "op9_mixing": mixing.ORACLE_SQL,
+}

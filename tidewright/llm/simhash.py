@@ -100,10 +100,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, seed: int = 42, id_col: s
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that are the least document of their component; columns as they were.
-
-    Of rows with equal ids all stay: nothing here tells them apart.
-    """
+    """One row of docs for each component, a row with its least id; columns as they were."""
     marked = near_duplicates(docs, id_col=id_col, text_col=text_col)
-    firsts = marked.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_first")).distinct()
-    return docs.join(firsts, docs[id_col].eqNullSafe(firsts["_first"]), "left_semi")
+    firsts = marked.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(F.col(id_col).alias("_first")).agg(F.count(F.lit(1)).alias("_rows"))
+    firsts = materialize(firsts, "firsts")
+    own = docs[id_col].eqNullSafe(firsts["_first"])
+    if firsts.filter("_rows > 1").limit(1).count() == 0:
+        return docs.join(firsts, own, "left_semi")
+    # Rows that share an id: one of each stays, and only they are grouped.
+    once = docs.join(firsts.filter("_rows = 1"), own, "left_semi")
+    return once.union(docs.join(firsts.filter("_rows > 1"), own, "left_semi").dropDuplicates([id_col]))
