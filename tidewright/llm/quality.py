@@ -193,7 +193,7 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     stats = materialize(statistics(docs, id_col, text_col), "statistics")
     picked = stats.filter("NOT base_failed").select(F.xxhash64(id_col).alias("_h"), *(f.alias(f"_f{k}") for k, f in enumerate(_features())))
     sample = picked.orderBy("_h", *(c for c in picked.columns if c != "_h")).limit(trees * rows).collect()
-    forest = Forest(np.array([r[1:] for r in sample], np.float64).reshape(len(sample), -1), trees, rows)
+    forest = Forest(np.array([r[1:] for r in sample], np.float64).reshape(len(sample), len(_features())), trees, rows)
     scored = materialize(_scored(stats, forest, id_col), "anomaly")
     at = _threshold(scored, labels, id_col, loss)
     return scored.withColumn("kept", F.expr(f"NOT base_failed AND anomaly < {at!r}D")).select(
