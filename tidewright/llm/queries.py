@@ -74,5 +74,6 @@ ORACLE_SQL: dict[str, str] = {
     "op2_license_scans": licenses.ORACLE_SQL,
     "op3_chat_formatting": chat.ORACLE_SQL,
     "op4_decontamination": decontaminate.ORACLE_SQL,
+    "op7_url_filters": urls.ORACLE_SQL,
     "op9_mixing": mixing.ORACLE_SQL,
 }

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import ascii_lower, materialize
+from tidewright.llm.common import LOWER, UPPER, ascii_lower, materialize
 
 #: (verdict, host and path): a rule holds for its host and all subdomains, where the
 #: url's path starts with the rule's; the longest rule wins.
@@ -73,7 +73,7 @@ def _merged(templates: DataFrame) -> DataFrame:
         pooled = nodes.groupBy("host", "parent").agg(F.sum("labelled").alias("p_labelled"), F.sum("bad").alias("p_bad"))
         alike = (
             nodes.join(pooled, ["host", "parent"])
-            .filter("p_labelled = 0 OR power(CAST(bad * p_labelled - labelled * p_bad AS DOUBLE), 2) <= %r * labelled * p_bad * (p_labelled - p_bad)" % (ALIKE * ALIKE))
+            .filter("p_labelled = 0 OR power(CAST(bad * p_labelled - labelled * p_bad AS DOUBLE), 2) <= %rD * labelled * p_bad * (p_labelled - p_bad)" % (ALIKE * ALIKE))
             .select("host", F.col("branch").alias("old"), F.lit(True).alias("alike"))
         )
         leaves = leaves.withColumn("old", cut).join(alike, ["host", "old"], "left")
@@ -126,3 +126,38 @@ def judge(pages: DataFrame, labelled: DataFrame, rules: list[tuple[str, str]] |
     return own.join(judged, (F.col("host") == F.col("j_host")) & (F.col("shape") == F.col("j_shape"))).select(
         F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("said", F.when(F.col("bad_share") >= PURITY, "block").otherwise("allow")).alias("verdict"), "template", F.round("bad_share", 6).alias("bad_share")
     )
+
+
+def _oracle() -> str:
+    """The same tree for the pages table and labels by the number in a path, level by level."""
+    case = lambda pick: "CASE " + " ".join(
+        f"WHEN (host = '{t.split('/')[0]}' OR ends_with(host, '.{t.split('/')[0]}')) AND starts_with(path, '/{t.partition('/')[2]}') THEN '{pick(says, t)}'" for says, t in sorted(RULES, key=lambda r: -len(r[1]))
+    ) + " END"
+    parts = [
+        "u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages)",
+        "h AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM u)",
+        f"b AS (SELECT page_id, translate(raw, '{UPPER}', '{LOWER}') AS host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM h)",
+        f"p0 AS (SELECT *, {case(lambda says, t: t)} AS rule, {case(lambda says, t: says)} AS said, regexp_extract(path, '([0-9]+)[^0-9]*$', 1) AS key, list_filter(string_split(regexp_replace(path, '[0-9]+', '#', 'g'), '/'), lambda s: s <> '') AS segs FROM b)",
+        f"p AS (SELECT * EXCLUDE (segs), CASE WHEN len(segs) > {DEPTH} THEN list_append(segs[1:{DEPTH}], '**') ELSE segs END AS shape FROM p0)",
+        "m AS (SELECT CAST(doc_id AS VARCHAR) AS key, max(CASE WHEN quality = 0 THEN 1 ELSE 0 END) AS bad FROM labels WHERE quality IS NOT NULL GROUP BY 1)",
+        "g0 AS (SELECT host, shape, count(*) AS n, count(m.key) AS labelled, coalesce(sum(m.bad), 0) AS bad, []::VARCHAR[] AS done FROM p LEFT JOIN m ON p.key = m.key AND p.key <> '' GROUP BY host, shape)",
+    ]
+    for d in range(DEPTH + 1):
+        parts.append(f"v{d} AS (SELECT host, done FROM g{d} WHERE len(shape) > {d} GROUP BY host, done HAVING count(DISTINCT shape[{d + 1}]) >= {MANY} AND count(DISTINCT shape[{d + 1}]) * {SPREAD} >= sum(n))")
+        parts.append(f"g{d + 1} AS (SELECT g.* EXCLUDE (done), CASE WHEN len(shape) <= {d} THEN g.done WHEN v.host IS NULL THEN list_append(g.done, shape[{d + 1}]) ELSE list_append(g.done, '*') END AS done FROM g{d} g LEFT JOIN v{d} v ON g.host = v.host AND g.done = v.done)")
+    parts.append(f"l{DEPTH + 1} AS (SELECT host, done AS template, done AS branch, sum(labelled) AS labelled, sum(bad) AS bad FROM g{DEPTH + 1} GROUP BY host, done)")
+    for d in range(DEPTH + 1, 0, -1):
+        parts.append(f"n{d} AS (SELECT host, branch[1:{d}] AS node, branch[1:{d - 1}] AS parent, sum(labelled) AS labelled, sum(bad) AS bad FROM l{d} WHERE len(branch) >= {d} GROUP BY 1, 2, 3)")
+        parts.append(f"q{d} AS (SELECT host, parent, sum(labelled) AS pl, sum(bad) AS pb FROM n{d} GROUP BY 1, 2)")
+        parts.append(f"a{d} AS (SELECT host, node FROM n{d} JOIN q{d} USING (host, parent) WHERE pl = 0 OR pow((bad * pl - labelled * pb)::DOUBLE, 2) <= {ALIKE * ALIKE}::DOUBLE * labelled * pb * (pl - pb))")
+        parts.append(f"l{d - 1} AS (SELECT l.host, l.template, l.labelled, l.bad, CASE WHEN a.host IS NOT NULL AND len(branch) >= {d} THEN list_concat(list_append(branch[1:{d - 1}], '~'), branch[{d + 1}:]) ELSE branch END AS branch FROM l{d} l LEFT JOIN a{d} a ON l.host = a.host AND l.branch[1:{d}] = a.node)")
+    parts += [
+        "o AS (SELECT coalesce(sum(bad)::DOUBLE / nullif(sum(labelled), 0), 0) AS overall FROM l0)",
+        f"k AS (SELECT host, (sum(bad) + {WEIGHT}::DOUBLE * any_value(overall)) / (sum(labelled) + {WEIGHT}::DOUBLE) AS prior FROM l0, o GROUP BY host)",
+        f"s AS (SELECT host, branch, (sum(bad) + {WEIGHT}::DOUBLE * any_value(prior)) / (sum(labelled) + {WEIGHT}::DOUBLE) AS bad_share FROM l0 JOIN k USING (host) GROUP BY host, branch)",
+        f"j AS (SELECT g.host, g.shape, '/' || array_to_string(l0.branch, '/') AS template, bad_share FROM g{DEPTH + 1} g JOIN l0 ON g.host = l0.host AND g.done = l0.template JOIN s ON s.host = l0.host AND s.branch = l0.branch)",
+    ]
+    return f"WITH {', '.join(parts)} SELECT page_id, p.host AS host, path, rule, coalesce(said, CASE WHEN bad_share >= {PURITY} THEN 'block' ELSE 'allow' END) AS verdict, template, round(bad_share, 6) AS bad_share FROM p JOIN j ON p.host = j.host AND p.shape = j.shape"
+
+
+ORACLE_SQL = _oracle()
