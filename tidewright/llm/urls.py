@@ -50,10 +50,10 @@ def _sums(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
 
 
-def _generalised(paths: DataFrame) -> DataFrame:
+def _generalised(paths: DataFrame, deepest: int) -> DataFrame:
     """paths(host, shape, n, ...) with `template`: variable segments are wildcards, level by level."""
     out = paths.withColumn("done", F.array().cast("array<string>"))
-    for d in range(DEPTH + 1):
+    for d in range(deepest):
         own = out.filter(F.size("shape") > d).withColumn("part", F.expr(f"shape[{d}]"))
         places = own.groupBy("host", "done", "part").agg(F.sum("n").alias("n")).groupBy("host", "done").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("all"))
         variable = places.filter((F.col("kinds") >= MANY) & (F.col("kinds") * SPREAD >= F.col("all"))).select("host", "done", F.lit(True).alias("variable"))
@@ -64,10 +64,10 @@ def _generalised(paths: DataFrame) -> DataFrame:
     return out.withColumnRenamed("done", "template")
 
 
-def _merged(templates: DataFrame) -> DataFrame:
+def _merged(templates: DataFrame, deepest: int) -> DataFrame:
     """(host, template, branch): branch is the template after like siblings are merged, leaves first."""
     leaves = _sums(templates, "host", "template").withColumn("branch", F.col("template"))
-    for d in range(DEPTH + 1, 0, -1):
+    for d in range(deepest, 0, -1):
         cut = F.slice("branch", 1, d)
         nodes = _sums(leaves.withColumn("branch", cut).filter(F.size("branch") == d), "host", "branch").withColumn("parent", F.slice("branch", 1, d - 1))
         pooled = nodes.groupBy("host", "parent").agg(F.sum("labelled").alias("p_labelled"), F.sum("bad").alias("p_bad"))
@@ -79,7 +79,8 @@ def _merged(templates: DataFrame) -> DataFrame:
         leaves = leaves.withColumn("old", cut).join(alike, ["host", "old"], "left")
         # ~ stands for all siblings that are like their pool.
         leaves = leaves.withColumn("branch", F.expr(f"IF(alike AND size(branch) >= {d}, concat(slice(branch, 1, {d - 1}), array('~'), slice(branch, {d + 1}, size(branch))), branch)")).drop("old", "alike")
-        leaves = materialize(leaves, "branches")
+        if d > 1:
+            leaves = materialize(leaves, "branches")
     return leaves
 
 
@@ -105,8 +106,10 @@ def judge(pages: DataFrame, labelled: DataFrame, rules: list[tuple[str, str]] |
     counts = own.groupBy("host", "shape").agg(F.count(F.lit(1)).alias("n"))
     shapes = counts.join(found, ["host", "shape"], "left").na.fill(0, ["labelled", "bad"])
 
-    templates = _generalised(materialize(shapes, "shapes"))
-    branches = _merged(templates)
+    shapes = materialize(shapes, "shapes")
+    deepest = shapes.agg(F.max(F.size("shape"))).first()[0] or 0  # DEPTH + 1 at most
+    templates = _generalised(shapes, deepest)
+    branches = materialize(_merged(templates, deepest), "branches")
     totals = branches.agg(F.sum("labelled"), F.sum("bad")).first()
     overall = float(totals[1]) / totals[0] if totals[0] else 0.0
     hosts = branches.groupBy("host").agg(F.sum("labelled").alias("h_labelled"), F.sum("bad").alias("h_bad"))
