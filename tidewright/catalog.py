@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewright.functions import identity, times
-from tidewright.operators import agenda, compare, coverage, decisions, derive, effective, health, lifecycle, policy, provenance, retention, temporal
+from tidewright.operators import agenda, compare, coverage, decisions, derive, effective, health, lifecycle, policy, provenance, retention, sharing, temporal
 from tidewright.streaming import windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -229,6 +229,58 @@ def agenda_settle(spark, t):  # noqa: ANN001, ANN201
     return agenda.settle(rows, _NOW, 5, 2.0, 600, 5).select("o_orderkey", "next_state", "retry_at")
 
 
+@query(f"WITH e AS ({_EPISODES}) SELECT episode_id, CASE WHEN state = 'LEASED' THEN 'RETRY_WAIT' ELSE state END AS state, CASE WHEN state = 'LEASED' THEN {_NOW} + 5 ELSE available_at END AS available_at FROM e")
+def agenda_sweep(spark, t):  # noqa: ANN001, ANN201
+    return agenda.sweep(_episodes(t), _NOW + 5).select("episode_id", "state", "available_at")
+
+
+@query(f"WITH e AS ({_EPISODES}) SELECT state, count(*) AS n FROM (SELECT CASE WHEN rule_version = 3 AND state IN ('PENDING', 'RETRY_WAIT') THEN 'CANCELLED' ELSE state END AS state FROM e) GROUP BY state")
+def rule_replace(spark, t):  # noqa: ANN001, ANN201
+    return agenda.replace_version(_episodes(t), 3, "CANCEL_OLD").groupBy("state").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH e AS ({_EPISODES}) SELECT rule_version, count(*) AS pending FROM e WHERE state IN ('PENDING', 'RETRY_WAIT') GROUP BY 1 HAVING count(*) >= 500")
+def agenda_backpressure(spark, t):  # noqa: ANN001, ANN201
+    return agenda.backpressure(_episodes(t), 500)
+
+
+@query("SELECT * FROM (VALUES ('MIXED_VERSION'), ('MIXED_EVENT'), ('INCOMPATIBLE_CONFLICT'), ('INELIGIBLE_EPISODE'), ('OVERSIZED_OR_EMPTY')) v(code)")
+def agenda_batch_rejections(spark, t):  # noqa: ANN001, ANN201
+    """All episodes at once are no batch, for every reason there is."""
+    return agenda.batch_rejections(_episodes(t))
+
+
+# Sharing
+
+
+@query("SELECT * FROM (SELECT 'large' AS condition, count(*) AS \"rows\" FROM orders WHERE o_totalprice > 300000 UNION ALL SELECT 'open', count(*) FROM orders WHERE o_orderstatus = 'O'), (SELECT count(DISTINCT n_regionkey) AS consumers, count(DISTINCT n_regionkey) > 3 AS over_limit FROM nation)")
+def shared_condition_cost(spark, t):  # noqa: ANN001, ANN201
+    shared = {"large": t("orders").filter("o_totalprice > 300000"), "open": t("orders").filter("o_orderstatus = 'O'")}
+    consumers = t("nation").select(F.explode(F.array(F.lit("large"), F.lit("open"))).alias("condition"), F.col("n_regionkey").alias("consumer"))
+    return sharing.cost(shared, consumers, 3)
+
+
+@query(f"""SELECT sha256('orders:' || o_orderkey || ':1:' || kind || ':' || CASE WHEN kind = 'CHANGE' THEN 1 ELSE 0 END) AS idempotency_key,
+'{{"envelope_version":1,"rule":"orders","o_orderkey":' || o_orderkey || ',"kind":"' || kind || '","generation":1,"revision":' || CASE WHEN kind = 'CHANGE' THEN 1 ELSE 0 END || '}}' AS body FROM ({_ADVANCED}) WHERE kind IS NOT NULL""")
+def outbox_envelope(spark, t):  # noqa: ANN001, ANN201
+    old, new = _snapshots(t)
+    emitted = lifecycle.events(lifecycle.advance(lifecycle.seed(old, ["o_orderkey"]), new, ["o_orderkey"]), ["o_orderkey"])
+    return sharing.envelopes(emitted, ["o_orderkey"], "orders")
+
+
+@query("SELECT c_custkey, c_mktsegment FROM customer WHERE c_acctbal > 9000")
+def key_sync(spark, t):  # noqa: ANN001, ANN201
+    """Surrogates of rich customers, back to their public keys."""
+    parts = [("c_custkey", "bigint"), ("c_mktsegment", "text")]
+    key = identity.surrogate(identity.canonical_tuple([(F.col(c), k) for c, k in parts]))
+    return sharing.public_keys(t("customer").filter("c_acctbal > 9000").select(key.alias("surrogate")), t("customer"), parts).select("c_custkey", "c_mktsegment")
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey > 1000 ORDER BY o_orderkey LIMIT 101")
+def explanation_page(spark, t):  # noqa: ANN001, ANN201
+    return sharing.page(t("orders").select("o_orderkey", "o_custkey"), "o_orderkey", 1000, 100)
+
+
 # Derivation
 
 
@@ -311,6 +363,21 @@ _aggregate("min", "min(i.l_quantity)", "<", 5)
 _aggregate("max", "max(i.l_quantity)", "<=", 20)
 
 
+@query("""WITH a AS (SELECT l_orderkey, count(*) AS v FROM lineitem WHERE l_quantity > 20 GROUP BY 1), b AS (SELECT l_orderkey, count(*) AS v FROM lineitem WHERE l_quantity > 30 GROUP BY 1)
+SELECT o_orderkey AS l_orderkey, coalesce(b.v, 0) AS value, coalesce(b.v, 0) >= 2 AS truth, CAST(CASE WHEN coalesce(a.v, 0) = coalesce(b.v, 0) THEN 1 ELSE 2 END AS BIGINT) AS lower_frontier
+FROM orders LEFT JOIN a ON a.l_orderkey = o_orderkey LEFT JOIN b ON b.l_orderkey = o_orderkey""")
+def aggregate_evidence(spark, t):  # noqa: ANN001, ANN201
+    groups, rule = t("orders").select(F.col("o_orderkey").alias("l_orderkey")), derive.Aggregate("lines", "count_star", None, ">=", 2)
+    value = lambda where: derive.aggregate_truth(groups, t("lineitem").filter(where), ["l_orderkey"], rule)
+    return derive.evidence(value("l_quantity > 20").withColumn("lower_frontier", F.lit(1).cast("bigint")), value("l_quantity > 30"), ["l_orderkey"], 2)
+
+
+@query(f"SELECT 'eligible' AS rule, 'blocked' AS relation, c_custkey, 0 AS stratum FROM ({_REACHED}) WHERE c_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)")
+def negative_evidence(spark, t):  # noqa: ANN001, ANN201
+    sources = _program_sources(t)
+    return derive.negative_evidence(_program(), derive.evaluate(_program(), sources), sources)
+
+
 @query("SELECT problem, count(*) AS n FROM (SELECT CASE WHEN c_custkey % 2 = 1 THEN 'MISSING' ELSE 'EXTRA' END AS problem FROM customer WHERE (c_custkey % 2 = 1 AND c_custkey % 3 = 0) OR (c_custkey % 2 = 0 AND c_custkey % 3 <> 0)) GROUP BY problem")
 def derived_reconcile(spark, t):  # noqa: ANN001, ANN201
     keys = t("customer").select("c_custkey")
@@ -339,6 +406,15 @@ def window_threshold(spark, t):  # noqa: ANN001, ANN201
     return windows.measure(_staged(t), ["user_id"], "sum", "v").filter("value >= 120").withColumn("value", F.col("value").cast("double"))
 
 
+@query(f'SELECT user_id, "window", count(*) AS n, count(v) AS c, CAST(min(v) AS DOUBLE) AS low, CAST(max(v) AS DOUBLE) AS high FROM ({_HOURS}) GROUP BY ALL')
+def window_measures(spark, t):  # noqa: ANN001, ANN201
+    staged, out = _staged(t), None
+    for fn, name in (("count_star", "n"), ("count", "c"), ("min", "low"), ("max", "high")):
+        one = windows.measure(staged, ["user_id"], fn, None if fn == "count_star" else "v").withColumnRenamed("value", name)
+        out = one if out is None else out.join(one, ["user_id", "window"])
+    return out.withColumns({"low": F.col("low").cast("double"), "high": F.col("high").cast("double")})
+
+
 _BEFORE = _HOURS + " WHERE event_id % 10 <> 3"
 _AFTER = _HOURS + " WHERE event_id % 10 <> 7"
 
@@ -491,6 +567,12 @@ def effective_state(spark, t):  # noqa: ANN001, ANN201
     return t("orders").select("o_custkey", state.alias("state")).groupBy("o_custkey", "state").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("SELECT o_orderkey, 'DEACTIVATE' AS kind, 'OLD' AS side FROM orders WHERE o_totalprice > 400000 UNION ALL SELECT o_orderkey, 'ACTIVATE', 'NEW' FROM orders WHERE o_totalprice > 350000 AND o_orderstatus = 'O'")
+def effective_switch(spark, t):  # noqa: ANN001, ANN201
+    old = lifecycle.seed(t("orders").filter("o_totalprice > 400000").select("o_orderkey", "o_totalprice"), ["o_orderkey"])
+    return effective.switch(old, t("orders").filter("o_totalprice > 350000 AND o_orderstatus = 'O'"), ["o_orderkey"])
+
+
 @query("SELECT o_orderkey, n_name, o_totalprice FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_totalprice >= (n_nationkey + 1) * 15000")
 def parameter_family_join(spark, t):  # noqa: ANN001, ANN201
     family = t("nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name", ((F.col("n_nationkey") + 1) * 15000).alias("least"))
@@ -650,6 +732,25 @@ def policy_eligibility(spark, t):  # noqa: ANN001, ANN201
     return policy.eligibility_findings(t("orders").select("o_custkey"), ["o_custkey"], 10_000)
 
 
+@query(f"""SELECT o_orderkey, o_custkey IN ({_RICH}) AS active, CAST(1 AS BIGINT) AS support_generation,
+CASE WHEN o_custkey IN ({_RICH}) AND o_custkey NOT IN ({_GATE}) THEN 'ADDED' WHEN o_custkey NOT IN ({_RICH}) THEN 'REMOVED' END AS change FROM ({_GATED}) WHERE o_custkey IN ({_RICH}) OR o_custkey IN ({_GATE})""")
+def policy_supports(spark, t):  # noqa: ANN001, ANN201
+    """Supports by segment, then by wealth: what is gone, what has come and what stays."""
+    gates, matches = _gates(t), t("orders").filter("o_totalprice > 200000").select("o_orderkey", "o_custkey")
+    before = policy.scoped(matches, {"segments": gates["segments"]}, ["o_custkey"]).select("o_orderkey", F.struct("o_custkey").alias("subject"), F.lit(True).alias("active"), F.lit(1).cast("bigint").alias("support_generation"))
+    return policy.upsert_supports(before, matches, ["o_orderkey"], ["o_custkey"], gates["rich"]).select("o_orderkey", "active", "support_generation", "change")
+
+
+@query(f"""WITH a AS (SELECT o_orderkey FROM ({_GATED}) WHERE o_custkey IN ({_GATE})), b AS (SELECT o_orderkey FROM ({_GATED}) WHERE o_custkey IN ({_RICH}))
+SELECT o_orderkey, 'DEACTIVATE' AS kind FROM a ANTI JOIN b USING (o_orderkey) UNION ALL SELECT o_orderkey, 'ACTIVATE' FROM b ANTI JOIN a USING (o_orderkey)""")
+def policy_reconcile(spark, t):  # noqa: ANN001, ANN201
+    """A rule's events when its gate changes: active is what matches and has a support."""
+    gates, matches = _gates(t), t("orders").filter("o_totalprice > 200000").select("o_orderkey", "o_custkey")
+    of = lambda gate: policy.scoped(matches, {"g": gate}, ["o_custkey"]).select("o_orderkey", "o_custkey")
+    done = lifecycle.advance(lifecycle.seed(of(gates["segments"]), ["o_orderkey"]), of(gates["rich"]), ["o_orderkey"])
+    return lifecycle.events(done, ["o_orderkey"]).select("o_orderkey", "kind")
+
+
 # Provenance
 
 

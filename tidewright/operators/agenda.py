@@ -68,3 +68,35 @@ def settle(results: DataFrame, now: int, initial: int, multiplier: float, most:
     state = F.when(~F.col("eligible"), "SKIPPED").when(F.col("error").isNull(), "DONE").when(final, "FAILED").otherwise("RETRY_WAIT")
     wait = F.when(state == "RETRY_WAIT", F.lit(now) + backoff(F.col("attempt"), initial, multiplier, most).cast("bigint") * SECOND)
     return results.withColumn("next_state", state).withColumn("retry_at", wait)
+
+
+def sweep(episodes: DataFrame, now: int) -> DataFrame:
+    """Episodes after leases that ran out have been given back."""
+    stale = (F.col("state") == "LEASED") & (F.col("lease_until") <= now)
+    return episodes.withColumn("available_at", F.when(stale, F.lit(now).cast("bigint")).otherwise(F.col("available_at"))).withColumn("state", F.when(stale, "RETRY_WAIT").otherwise(F.col("state")))
+
+
+def replace_version(episodes: DataFrame, version: object, policy: str) -> DataFrame:
+    """Episodes after a rule version has been replaced: its waiting work is cancelled, or left to drain."""
+    if policy not in ("DRAIN_OLD", "CANCEL_OLD"):
+        raise ValueError(f"no such policy: {policy}")
+    waiting = F.col("state").isin(*CLAIMABLE) & (F.col("rule_version") == F.lit(version))
+    return episodes.withColumn("state", F.when(waiting & F.lit(policy == "CANCEL_OLD"), "CANCELLED").otherwise(F.col("state")))
+
+
+def backpressure(episodes: DataFrame, most_pending: int) -> DataFrame:
+    """Rule versions with as much waiting work as they may have: passes drain it and add none."""
+    return episodes.filter(F.col("state").isin(*CLAIMABLE)).groupBy("rule_version").agg(F.count(F.lit(1)).alias("pending")).filter(F.col("pending") >= most_pending)
+
+
+def batch_rejections(batch: DataFrame) -> DataFrame:
+    """Why a batch can't run as one: codes for what its episodes must share or keep apart."""
+    seen = batch.agg(F.count_distinct("rule_version").alias("versions"), F.count_distinct("kind").alias("kinds"), F.count(F.lit(1)).alias("n"), F.count("conflict_key").alias("keyed"), F.count_distinct("conflict_key").alias("conflicts"), F.count_if(~F.col("state").isin(*CLAIMABLE)).alias("taken"))
+    codes = F.filter(
+        F.array(
+            F.when(F.col("versions") > 1, "MIXED_VERSION"), F.when(F.col("kinds") > 1, "MIXED_EVENT"), F.when(F.col("keyed") > F.col("conflicts"), "INCOMPATIBLE_CONFLICT"),
+            F.when(F.col("taken") > 0, "INELIGIBLE_EPISODE"), F.when(~F.col("n").between(2, 32), "OVERSIZED_OR_EMPTY"),
+        ),
+        lambda c: c.isNotNull(),
+    )
+    return seen.select(F.explode(codes).alias("code"))

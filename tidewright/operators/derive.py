@@ -152,3 +152,24 @@ def invalid(stored: DataFrame, expected: DataFrame, key: list[str]) -> DataFrame
     """Differences of stored facts from expected ones: MISSING and EXTRA."""
     missing = expected.join(stored, key, "left_anti").select(*key, F.lit("MISSING").alias("problem"))
     return missing.unionByName(stored.join(expected, key, "left_anti").select(*key, F.lit("EXTRA").alias("problem")))
+
+
+def evidence(prior: DataFrame, current: DataFrame, key: list[str], frontier: int) -> DataFrame:
+    """Aggregate evidence after a pass: value, truth, and the frontier since which they stand.
+
+    prior has key, value, truth, lower_frontier; current key, value, truth. Groups that are
+    gone lose their evidence.
+    """
+    old = prior.select(*key, F.col("value").alias("v0"), F.col("truth").alias("t0"), "lower_frontier")
+    same = F.col("value").eqNullSafe(F.col("v0")) & F.col("truth").eqNullSafe(F.col("t0"))
+    return current.join(old, key, "left").select(*key, "value", "truth", F.when(same, F.col("lower_frontier")).otherwise(F.lit(frontier).cast("bigint")).alias("lower_frontier"))
+
+
+def negative_evidence(program: Program, facts: dict[str, DataFrame], sources: dict[str, DataFrame]) -> DataFrame:
+    """(rule, relation, key, stratum): which absent facts each support of a rule with negatives rests on."""
+    strata, out = program.strata(), None
+    for rule in program.rules:
+        for name in rule.negatives:
+            one = _once(rule, facts, sources, list(program.key)).distinct().select("rule", F.lit(name).alias("relation"), *program.key, F.lit(strata[name]).alias("stratum"))
+            out = one if out is None else out.union(one)
+    return out

@@ -37,3 +37,21 @@ def claimable(winners: DataFrame, gate: DataFrame, subject: list[str]) -> DataFr
     """Decided outcomes, all of them, with claimable: a winner whose subject is eligible."""
     eligible = gate.select(*subject).distinct().withColumn("eligible", F.lit(True))
     return winners.join(eligible, subject, "left").withColumn("claimable", (F.col("state") == "WINNER") & F.coalesce("eligible", F.lit(False))).drop("eligible")
+
+
+def upsert_supports(supports: DataFrame, matches: DataFrame, keys: list[str], subject: list[str], gate: DataFrame) -> DataFrame:
+    """Scope supports after a pass: keys, subject, active, support_generation and the change (ADDED, REMOVED or null).
+
+    A support that comes, comes back, or changes its subject is of the next generation.
+    """
+    now = matches.join(gate.select(*subject).distinct(), subject, "left_semi").select(*keys, F.struct(*subject).alias("new"))
+    both = supports.select(*keys, F.col("subject").alias("old"), F.col("active").alias("was"), "support_generation").join(now, keys, "full_outer")
+    was, here = F.coalesce("was", F.lit(False)), F.col("new").isNotNull()
+    fresh = here & (~was | ~F.col("old").eqNullSafe(F.col("new")))
+    return both.select(
+        *keys,
+        F.coalesce("new", "old").alias("subject"),
+        here.alias("active"),
+        (F.coalesce("support_generation", F.lit(0).cast("bigint")) + fresh.cast("int")).alias("support_generation"),
+        F.when(here & ~was, "ADDED").when(was & ~here, "REMOVED").alias("change"),
+    )
