@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.llm.common import materialize
@@ -76,22 +76,18 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
 
 
-def _features() -> list[Column]:
-    """What the forest splits: how far a text is beyond what rules leave free.
+def _features(rows: np.ndarray) -> np.ndarray:
+    """What the forest splits, from rows of STATISTICS: how far a text is beyond what rules leave free.
 
     All are ratios, so that a long document is like a short one, and most documents are
     0 in all of them: symbols by character and by word, a mean word length outside 3 to
     10 characters, and repeated words beyond three in ten. Lines that recur are common in
     good documents; they count through the words that they repeat.
     """
-    words, chars = F.greatest("n_words", F.lit(1)), F.greatest("word_chars", F.lit(1))
-    mean = F.col("word_chars") / words
-    return [
-        F.col("n_symbols") / chars,
-        F.col("n_symbols") / words,
-        F.greatest(F.lit(0.0), 3 - mean, mean - 10),
-        F.greatest(F.lit(0.0), F.col("n_repeat_words") / words - 0.3),
-    ]
+    words, chars, symbols, _, repeats = np.asarray(rows, np.float64).reshape(-1, len(STATISTICS)).T
+    words, chars = np.maximum(words, 1), np.maximum(chars, 1)
+    mean = chars / words
+    return np.column_stack([symbols / chars, symbols / words, np.maximum(0, np.maximum(3 - mean, mean - 10)), np.maximum(0, repeats / words - 0.3)])
 
 
 def _average_path(n: np.ndarray | int) -> np.ndarray:
@@ -147,16 +143,17 @@ class Forest:
         return 2.0 ** (-total / len(self.trees) / self.unit)
 
 
-def _scored(stats: DataFrame, forest: Forest, id_col: str) -> DataFrame:
+def _scored(stats: DataFrame, forest: Forest) -> DataFrame:
+    """stats with the forest's score, anomaly."""
     names = [f.name for f in stats.schema]
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stats.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.column_stack([batch.column(len(names) + k).to_numpy(zero_copy_only=False) for k in range(batch.num_columns - len(names))])
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(forest.score(x))], names=[*names, "anomaly"])
+            rows = np.column_stack([batch.column(names.index(s)).to_numpy(zero_copy_only=False) for s in STATISTICS])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(forest.score(_features(rows)))], names=[*names, "anomaly"])
 
-    return stats.select(*stats.columns, *(f.alias(f"_f{k}") for k, f in enumerate(_features()))).mapInArrow(run, f"{kinds}, anomaly double")
+    return stats.mapInArrow(run, f"{kinds}, anomaly double")
 
 
 def _threshold(scored: DataFrame, labels: DataFrame, id_col: str, loss: float) -> float:
@@ -181,6 +178,16 @@ def _threshold(scored: DataFrame, labels: DataFrame, id_col: str, loss: float) -
     return float(best) / BINS
 
 
+def _fitted(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, trees: int, rows: int, loss: float) -> tuple[DataFrame, Forest, float]:
+    """Every document's statistics and score, the forest, and the score from which on documents go."""
+    stats = materialize(statistics(docs, id_col, text_col), "statistics")
+    picked = stats.filter("NOT base_failed").select(F.xxhash64(id_col).alias("_h"), *STATISTICS)
+    sample = picked.orderBy("_h", *STATISTICS).limit(trees * rows).collect()
+    forest = Forest(_features(np.array([r[1:] for r in sample], np.int64)), trees, rows)
+    scored = materialize(_scored(stats, forest), "anomaly")
+    return scored, forest, _threshold(scored, labels, id_col, loss)
+
+
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", trees: int = TREES, rows: int = ROWS, loss: float = LOSS) -> DataFrame:
     """One row a document: id, the rule statistics, base_failed, kept, anomaly.
 
@@ -190,18 +197,24 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     nothing, and a document labelled both good and bad counts as bad. An empty table
     gives an empty result, and extra columns are not read.
     """
-    stats = materialize(statistics(docs, id_col, text_col), "statistics")
-    picked = stats.filter("NOT base_failed").select(F.xxhash64(id_col).alias("_h"), *(f.alias(f"_f{k}") for k, f in enumerate(_features())))
-    sample = picked.orderBy("_h", *(c for c in picked.columns if c != "_h")).limit(trees * rows).collect()
-    forest = Forest(np.array([r[1:] for r in sample], np.float64).reshape(len(sample), len(_features())), trees, rows)
-    scored = materialize(_scored(stats, forest, id_col), "anomaly")
-    at = _threshold(scored, labels, id_col, loss)
+    scored, _, at = _fitted(docs, labels, id_col, text_col, trees, rows, loss)
     return scored.withColumn("kept", F.expr(f"NOT base_failed AND anomaly < {at!r}D")).select(
         id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "anomaly"
     )
 
 
 def keep(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that judge() keeps, with their columns as they were."""
-    kept = judge(docs, labels, id_col, text_col).filter("kept").select(F.col(id_col).alias("_kept")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["_kept"]), "left_semi")
+    """The documents that judge() keeps, with their columns as they were.
+
+    The verdict is made again beside each text: statistics are cheaper than moving texts to join them.
+    """
+    _, forest, at = _fitted(docs, labels, id_col, text_col, TREES, ROWS, LOSS)
+    k = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = np.array([statistics_of(t.as_py()) for t in batch.column(k)], np.int64).reshape(-1, len(STATISTICS))
+            failed = (rows[:, 0] < 50) | (100 * rows[:, 4] > 50 * rows[:, 0])
+            yield batch.filter(pa.array(~failed & (forest.score(_features(rows)) < at)))
+
+    return docs.mapInArrow(run, docs.schema)
