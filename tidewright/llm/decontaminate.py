@@ -123,7 +123,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
     Rows that share an id go together when one of them is contaminated.
     """
     marked = contamination(docs, benchmark, id_col=id_col, text_col=text_col)
-    bad = marked.filter("contaminated").select(F.col(id_col).alias("_bad")).distinct()
+    bad = materialize(marked.filter("contaminated").select(F.col(id_col).alias("_bad")).distinct(), "contaminated")  # of a known size: while it is small, no text moves
     return docs.join(bad, docs[id_col].eqNullSafe(bad["_bad"]), "left_anti")
 
 

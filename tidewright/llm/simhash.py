@@ -101,12 +101,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, seed: int = 42, id_col: s
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of docs for each component, a row with its least id; columns as they were."""
-    marked = near_duplicates(docs, id_col=id_col, text_col=text_col)
-    firsts = marked.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(F.col(id_col).alias("_first")).agg(F.count(F.lit(1)).alias("_rows"))
-    firsts = materialize(firsts, "firsts")
-    own = docs[id_col].eqNullSafe(firsts["_first"])
-    if firsts.filter("_rows > 1").limit(1).count() == 0:
-        return docs.join(firsts, own, "left_semi")
+    marked = materialize(near_duplicates(docs, id_col=id_col, text_col=text_col), "marked")
+    first = F.col(id_col).eqNullSafe(F.col("component_id"))
+    # What goes is far less than what stays, and its size is known: where it is small, no text moves.
+    gone = materialize(marked.filter(~first).select(F.col(id_col).alias("_gone")).distinct(), "gone")
+    kept = docs.join(gone, docs[id_col].eqNullSafe(gone["_gone"]), "left_anti")
+    again = materialize(marked.filter(first).groupBy(F.col(id_col).alias("_again")).count().filter("count > 1").select("_again"), "again")
+    if again.limit(1).count() == 0:
+        return kept
     # Rows that share an id: one of each stays, and only they are grouped.
-    once = docs.join(firsts.filter("_rows = 1"), own, "left_semi")
-    return once.union(docs.join(firsts.filter("_rows > 1"), own, "left_semi").dropDuplicates([id_col]))
+    shared = docs[id_col].eqNullSafe(again["_again"])
+    return kept.join(again, shared, "left_anti").union(kept.join(again, shared, "left_semi").dropDuplicates([id_col]))
