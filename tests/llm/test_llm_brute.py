@@ -131,6 +131,15 @@ def test_quality_keeps_the_good(spark):
     assert kept[1] > 0.98 and kept[0] < 0.1
 
 
+def test_least_hashes(spark):
+    from tidewright.llm.common import least_hashes
+
+    rows = spark.range(5000).withColumn("h", F.xxhash64("id"))
+    expected = [r["id"] for r in rows.orderBy("h").limit(40).collect()]
+    assert [r["id"] for r in least_hashes(rows, "h", 40).collect()] == expected
+    assert least_hashes(rows, "h", 9000).count() == 5000 and least_hashes(rows.filter("false"), "h", 5).count() == 0
+
+
 def test_isolation_forest_finds_outliers():
     rng = np.random.default_rng(0)
     rows = np.vstack([rng.normal(0, 1, (500, 2)), [[9, 9], [-8, 9]]])

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import materialize
+from tidewright.llm.common import least_hashes, materialize
 
 SYMBOLS = "#*$%&|<>"
 STATISTICS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -182,7 +182,7 @@ def _fitted(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, tree
     """Every document's statistics and score, the forest, and the score from which on documents go."""
     stats = materialize(statistics(docs, id_col, text_col), "statistics")
     picked = stats.filter("NOT base_failed").select(F.xxhash64(id_col).alias("_h"), *STATISTICS)
-    sample = picked.orderBy("_h", *STATISTICS).limit(trees * rows).collect()
+    sample = least_hashes(picked, "_h", trees * rows).collect()
     forest = Forest(_features(np.array([r[1:] for r in sample], np.int64)), trees, rows)
     scored = materialize(_scored(stats, forest), "anomaly")
     return scored, forest, _threshold(scored, labels, id_col, loss)

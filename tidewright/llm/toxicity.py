@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import materialize
+from tidewright.llm.common import least_hashes, materialize
 
 #: Letters of other scripts, digits and symbols, and the letter each stands for.
 LOOK_ALIKES = {
@@ -136,7 +136,7 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, exceptio
     and every score is below one half.
     """
     marked = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic")).filter(F.col("toxic").isin(0, 1)).groupBy("id").agg(F.max("toxic").alias("toxic"))
-    picked = marked.filter(~_held_out("id")).withColumn("h", F.xxhash64("id")).orderBy("h", "id").limit(fit_rows).select("id", "toxic")
+    picked = least_hashes(marked.filter(~_held_out("id")).withColumn("h", F.xxhash64("id")), "h", fit_rows).select("id", "toxic")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "id").select("text", "toxic").dropDuplicates()
     rows = materialize(rows, "fit")  # copies would make chance words look sure
 
