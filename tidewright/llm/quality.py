@@ -209,12 +209,11 @@ def keep(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: s
     The verdict is made again beside each text: statistics are cheaper than moving texts to join them.
     """
     _, forest, at = _fitted(docs, labels, id_col, text_col, TREES, ROWS, LOSS)
-    k = docs.columns.index(text_col)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = np.array([statistics_of(t.as_py()) for t in batch.column(k)], np.int64).reshape(-1, len(STATISTICS))
-            failed = (rows[:, 0] < 50) | (100 * rows[:, 4] > 50 * rows[:, 0])
-            yield batch.filter(pa.array(~failed & (forest.score(_features(rows)) < at)))
+    @F.arrow_udf("boolean")
+    def kept(texts: pa.Array) -> pa.Array:
+        rows = np.array([statistics_of(t.as_py()) for t in texts], np.int64).reshape(-1, len(STATISTICS))
+        failed = (rows[:, 0] < 50) | (100 * rows[:, 4] > 50 * rows[:, 0])
+        return pa.array(~failed & (forest.score(_features(rows)) < at))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.filter(kept(F.col(text_col)))
