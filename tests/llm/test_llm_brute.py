@@ -105,6 +105,19 @@ def test_keep_one_of_repeated_rows(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3]
 
 
+def test_rows_go_by_their_own_text(spark):
+    """Null and shared ids: what goes is the copy, or the contaminated row, and no other row with its id."""
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(30)) for x in "abcd")
+    rows = [(2, a), (5, a), (5, b), (None, a), (None, c), (None, d), (None, d), (6, b.upper())]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    assert sorted(map(tuple, simhash.keep_one(frame).collect()), key=key) == [(2, a), (5, b), (None, c), (None, d)]
+    no_copy = spark.createDataFrame([(None, c), (None, d)], "doc_id long, text string")
+    assert simhash.keep_one(no_copy).count() == 2
+    left = decontaminate.drop_contaminated(frame, spark.createDataFrame([(1, a), (2, c)], "item_id long, text string"))
+    assert sorted(map(tuple, left.collect()), key=key) == [(5, b), (6, b.upper()), (None, d), (None, d)]
+
+
 def _repeated(text):
     words = WORD.findall(text)
     seen, hit = Bag(zip(words, words[1:], words[2:], strict=False)), set()

@@ -63,6 +63,27 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def keep_rows(docs: DataFrame, marked: DataFrame, id_col: str, text_col: str, once: bool = False) -> DataFrame:
+    """The rows of docs that stay; with `once`, one of each id and text.
+
+    marked(id, key, stays) is a table with a row for each row of docs; key is the text's xxhash64.
+    Ids may be null or shared. Where all rows of an id have one verdict, the id is enough
+    and no text moves while few go; the other ids' rows go by id and key.
+    """
+    by_id = materialize(marked.groupBy("id").agg(F.count_if("stays").alias("stay"), F.count_if(~F.col("stays")).alias("go")), "verdicts")
+    gone, mixed = by_id.filter("stay = 0").select(F.col("id").alias("_gone")), by_id.filter(f"stay > 0 AND go > 0{' OR stay > 1' if once else ''}").select(F.col("id").alias("_mixed"))
+    gone, mixed = materialize(gone, "gone"), materialize(mixed, "mixed")  # of known sizes
+    kept = docs.join(gone, docs[id_col].eqNullSafe(gone["_gone"]), "left_anti")
+    if mixed.limit(1).count() == 0:
+        return kept
+    shared = docs[id_col].eqNullSafe(mixed["_mixed"])
+    stay = materialize(marked.filter("stays").join(mixed, F.col("id").eqNullSafe(F.col("_mixed")), "left_semi").select(F.col("id").alias("_id"), F.col("key").alias("_stay")).distinct(), "stay")
+    some = kept.join(mixed, shared, "left_semi").withColumn("_key", F.xxhash64(F.col(text_col)))
+    some = some.join(stay, some[id_col].eqNullSafe(stay["_id"]) & (some["_key"] == stay["_stay"]), "left_semi")
+    some = some.dropDuplicates([id_col, "_key"]) if once else some
+    return kept.join(mixed, shared, "left_anti").union(some.drop("_key"))
+
+
 def least_hashes(df: DataFrame, hashed: str, rows: int) -> DataFrame:
     """About the rows of df with the least values of the 64-bit hash column: `rows` of them at most.
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import NOT_ALNUM, NOT_ALNUM_ANY_CASE, ascii_lower, materialize, words_of
+from tidewright.llm.common import NOT_ALNUM, NOT_ALNUM_ANY_CASE, ascii_lower, keep_rows, materialize, words_of
 
 #: Words of a window, and of a gram where the shortest item allows it.
 WINDOW, GRAM = 13, 5
@@ -59,6 +59,11 @@ def contamination(
     count for hits and not for n_items. Repeated rows and null document ids get rows of
     their own; extra columns are not read.
     """
+    return _contamination(docs, benchmark, window, id_col, text_col, item_col, item_text_col).select(F.col("id").alias(id_col), "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+def _contamination(docs: DataFrame, benchmark: DataFrame, window: int, id_col: str, text_col: str, item_col: str, item_text_col: str) -> DataFrame:
+    """The same rows with id and key, the text's xxhash64."""
     items = materialize(benchmark.select(F.col(item_col).alias("item"), words_of(ascii_lower(F.col(item_text_col)), NOT_ALNUM).alias("words")).filter("size(words) > 0"), "items")
     lengths = [r[0] for r in items.select(F.least(F.size("words"), F.lit(window)).alias("n")).distinct().collect()]  # `window` values at most
     shortest = min(lengths, default=window)
@@ -77,7 +82,7 @@ def contamination(
 
     counted = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("key"), F.size(words_of(F.col(text_col), NOT_ALNUM_ANY_CASE)).cast("long").alias("n_words"))
     if windows is None:
-        return _result(counted.withColumns({"n_hit": F.lit(0).cast("long"), "items": F.array().cast("array<string>")}), id_col)
+        return _result(counted.withColumns({"n_hit": F.lit(0).cast("long"), "items": F.array().cast("array<string>")}))
     windows = materialize(windows.select("item", "x.n", "x.signature").distinct(), "windows")
 
     grams = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("key"), words_of(ascii_lower(F.col(text_col)), NOT_ALNUM).alias("words")).select(
@@ -103,12 +108,13 @@ def contamination(
     of_doc = found.select("id", "key", "n", "signature").distinct().join(windows, ["n", "signature"]).groupBy("id", "key").agg(F.array_sort(F.collect_set(F.col("item").cast("string"))).alias("items"))
     both = hit.join(of_doc, hit["id"].eqNullSafe(of_doc["id"]) & (hit["key"] == of_doc["key"])).select(hit["id"].alias("h_id"), hit["key"].alias("h_key"), "n_hit", "items")
     joined = counted.join(both, F.col("id").eqNullSafe(F.col("h_id")) & (F.col("key") == F.col("h_key")), "left")
-    return _result(joined.withColumns({"n_hit": F.coalesce("n_hit", F.lit(0).cast("long")), "items": F.coalesce("items", F.array().cast("array<string>"))}), id_col)
+    return _result(joined.withColumns({"n_hit": F.coalesce("n_hit", F.lit(0).cast("long")), "items": F.coalesce("items", F.array().cast("array<string>"))}))
 
 
-def _result(marked: DataFrame, id_col: str) -> DataFrame:
+def _result(marked: DataFrame) -> DataFrame:
     return marked.select(
-        F.col("id").alias(id_col),
+        "id",
+        "key",
         "n_words",
         "n_hit",
         F.size("items").cast("long").alias("n_items"),
@@ -120,11 +126,10 @@ def _result(marked: DataFrame, id_col: str) -> DataFrame:
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that are not contaminated, with their columns as they were.
 
-    Rows that share an id go together when one of them is contaminated.
+    Each row goes by its own text, whatever other rows have its id.
     """
-    marked = contamination(docs, benchmark, id_col=id_col, text_col=text_col)
-    bad = materialize(marked.filter("contaminated").select(F.col(id_col).alias("_bad")).distinct(), "contaminated")  # of a known size: while it is small, no text moves
-    return docs.join(bad, docs[id_col].eqNullSafe(bad["_bad"]), "left_anti")
+    marked = _contamination(docs, benchmark, WINDOW, id_col, text_col, "item_id", "text").select("id", "key", (~F.col("contaminated")).alias("stays"))
+    return keep_rows(docs, materialize(marked, "contaminated"), id_col, text_col)
 
 
 _WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import materialize
+from tidewright.llm.common import keep_rows, materialize
 from tidewright.llm.components import components
 
 BITS = 64
@@ -49,12 +49,19 @@ def _fingerprint(text: str | None, shingle: int, seed: int) -> int:
 def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp): the 64-bit SimHash of each whole text, as a signed long."""
 
+    return _fingerprinted(docs, shingle, seed, id_col, text_col).select(F.col("id").alias(id_col), "fp")
+
+
+def _fingerprinted(docs: DataFrame, shingle: int, seed: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, key, fp): key is the text's xxhash64, and tells rows that share an id apart."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = [_fingerprint(t.as_py(), shingle, seed) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], names=[id_col, "fp"])
+            fps = [_fingerprint(t.as_py(), shingle, seed) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.int64())], names=["id", "key", "fp"])
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, fp long")
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("key"), F.col(text_col)).mapInArrow(run, f"id {kind}, key long, fp long")
 
 
 def links(fps: DataFrame) -> DataFrame:
@@ -80,6 +87,14 @@ def links(fps: DataFrame) -> DataFrame:
     return star.distinct()
 
 
+def _linked(docs: DataFrame, shingle: int, seed: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (id, key, fp), key the text's xxhash64; (fp, least, row), the least id and row of each fingerprint; (fp, root) of the linked ones."""
+    own = materialize(_fingerprinted(docs, shingle, seed, id_col, text_col), "fingerprints")
+    row = F.struct(F.col("id").isNull().alias("no_id"), "id", "fp", "key")
+    distinct = materialize(own.groupBy("fp").agg(F.min("id").alias("least"), F.min(row).alias("row")), "distinct")
+    return own, distinct, components(links(distinct)).withColumnRenamed("node", "fp")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: its id, fingerprint (16 hex digits) and component_id.
 
@@ -88,27 +103,23 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, seed: int = 42, id_col: s
     Repeated rows stay rows. A null id never names a component unless all of it is null.
     Other columns are not read; an empty table gives an empty result.
     """
-    own = materialize(fingerprints(docs, shingle, seed, id_col, text_col).withColumnRenamed(id_col, "id"), "fingerprints")
-    distinct = materialize(own.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
-    roots = components(links(distinct)).withColumnRenamed("node", "fp")
+    own, distinct, roots = _linked(docs, shingle, seed, id_col, text_col)
     of_root = roots.join(distinct, "fp").groupBy("root").agg(F.min("least").alias("joined"))
     linked = roots.join(of_root, "root").select("fp", "joined")
-    named = materialize(distinct.join(linked, "fp", "left").select("fp", F.coalesce("joined", "least").alias("component_id")), "components")
+    named = materialize(distinct.select("fp", "least").join(linked, "fp", "left").select("fp", F.coalesce("joined", "least").alias("component_id")), "components")
     # The fingerprint of a third of all documents is one key here: a sort-merge join's
     # large partitions are split at run time, and nothing above it needs a key together.
     return own.join(named, "fp").select(F.col("id").alias(id_col), F.expr("lower(lpad(hex(fp), 16, '0'))").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of docs for each component, a row with its least id; columns as they were."""
-    marked = materialize(near_duplicates(docs, id_col=id_col, text_col=text_col), "marked")
-    first = F.col(id_col).eqNullSafe(F.col("component_id"))
-    # What goes is far less than what stays, and its size is known: where it is small, no text moves.
-    gone = materialize(marked.filter(~first).select(F.col(id_col).alias("_gone")).distinct(), "gone")
-    kept = docs.join(gone, docs[id_col].eqNullSafe(gone["_gone"]), "left_anti")
-    again = materialize(marked.filter(first).groupBy(F.col(id_col).alias("_again")).count().filter("count > 1").select("_again"), "again")
-    if again.limit(1).count() == 0:
-        return kept
-    # Rows that share an id: one of each stays, and only they are grouped.
-    shared = docs[id_col].eqNullSafe(again["_again"])
-    return kept.join(again, shared, "left_anti").union(kept.join(again, shared, "left_semi").dropDuplicates([id_col]))
+    """One row of docs for each component, a row with its least id; columns as they were.
+
+    Each row goes by its own fingerprint's component, whatever other rows have its id. Nulls are the greatest ids.
+    """
+    own, distinct, roots = _linked(docs, 3, 42, id_col, text_col)
+    of_fp = distinct.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "row")
+    first = of_fp.groupBy("root").agg(F.min("row").alias("first"))
+    named = materialize(of_fp.join(first, "root").select("fp", F.col("first.id").alias("first_id"), F.col("first.key").alias("first_key")), "survivors")
+    stays = F.col("id").eqNullSafe(F.col("first_id")) & (F.col("key") == F.col("first_key"))
+    return keep_rows(docs, materialize(own.join(named, "fp").select("id", "key", stays.alias("stays")), "marked"), id_col, text_col, once=True)
