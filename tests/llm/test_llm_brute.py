@@ -181,6 +181,37 @@ def test_substring_spans_are_exact(spark, docs):
         assert left[i] == words[:a] + words[a + n :]
 
 
+def test_substring_sees_every_earlier_place_and_only_those(spark, docs):
+    """Passages whose outer chunks stand first elsewhere, lines in varying order, repeats within a document."""
+    random.seed(6)
+    pool = sorted({w for t in docs.text for w in t.split()})
+    some = lambda n: random.sample(pool, n)
+    rows = []
+    for n in (51, 55, 60, 68, 90) * 3:
+        passage = some(n)
+        for e in (25, 30):  # the passage's ends in other surroundings
+            rows += [some(30) + passage[:e] + some(30), some(30) + passage[-e:] + some(30)]
+        rows += [some(40) + passage + some(40), some(40) + passage + some(40)]
+    lines = [some(24) for _ in range(8)]
+    rows += [some(20) + lines[k] + lines[k + 1] + some(20) for k in range(7)]
+    rows += [sum(lines, []), some(30) * 8, sum(lines[:3] * 3, [])]
+    rows.append(rows[-2])
+    frame = spark.createDataFrame([(k, " ".join(r)) for k, r in enumerate(rows)], "doc_id long, text string")
+    seen, hit = {}, {}
+    for k, r in enumerate(rows):
+        for i in range(len(r) - 49):
+            if tuple(r[i : i + 50]) in seen:
+                hit.setdefault(k, set()).update(range(i, i + 50))
+            seen.setdefault(tuple(r[i : i + 50]), (k, i))
+    got: dict = {}
+    for x in substring.spans(frame).collect():
+        k, a, n = x["doc_id"], x["first_word"], x["n_words"]
+        got.setdefault(k, set()).update(range(a, a + n))
+        assert x["first_doc_id"] == seen[tuple(rows[k][a : a + 50])][0]
+        assert any(rows[j][i : i + n] == rows[k][a : a + n] for j in range(k + 1) for i in range(len(rows[j]) - n + 1) if (j, i) < (k, a))
+    assert got == hit and len(hit) > 15
+
+
 def test_substring_survives_insertions(docs):
     """Cuts beyond a few words around an insertion are where they were."""
     words = max(docs.text, key=len).encode().split()[:2000]

@@ -4,14 +4,16 @@ A text is its words joined by single spaces. A gear hash rolls over its bytes; a
 whose hash is the least among its neighbours' is a cut. Where a cut falls depends on a
 few words around it and nothing else, so an insertion moves no cut beyond them, and a
 passage that two documents share has the same cuts in both. Chunks with equal digests
-are the same text; the one in the least (document, place) is the first, and runs of
-later ones repeat. A run is then extended word by word on both sides, as far as its
-document and the first one agree, and long ones are the spans that go.
+are the same text, and only around runs of chunks that stand elsewhere can a long
+passage repeat. There every window of SPAN_WORDS words is looked up by its own digest; a
+window whose chunks all follow one another in the first document needs no look-up.
+Repeated windows that follow one another in one earlier place are the spans that go.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,8 +33,9 @@ SPAN_WORDS = 50
 #: the words before its first cut and after its last one, 18 on average. Of 2000 random
 #: passages of 51 words none had a run below 12.
 RUN_WORDS = 10
-#: Words beyond a run that are compared on either side.
-BEYOND = 40
+#: Words beyond a run of which windows are looked up. A passage ends within the chunk beyond
+#: its last whole one and the words that decide a cut: LONGEST and 12 more.
+BEYOND = LONGEST + 12
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _GEAR = np.random.default_rng(20).integers(0, 1 << 16, 256, dtype=np.uint16)
 
@@ -100,96 +103,140 @@ def chunks(docs: DataFrame, neighbours: int = NEIGHBOURS, longest: int = LONGEST
     return docs.select(F.col(id_col).alias("id"), F.col(text_col)).filter(F.col(text_col).isNotNull()).mapInArrow(run, f"id {kind}, at int, n int, high long, low long")
 
 
-def _runs(own: object, parts: list[dict]) -> list[tuple]:
-    """Runs of chunks that stand earlier: first word, one past the last, chunks, and where the
-    first chunk starts and the last one ends in the documents that have them first."""
+def _stretches(own: object, parts: list[dict]) -> tuple[list[list], list[list]]:
+    """Runs (a, b) of chunks that stand elsewhere too, and stretches (a, b, first id, first word) of
+    later chunks whose first occurrences follow one another in one document."""
     runs: list[list] = []
-    upto = -1
+    same: list[list] = []
     for p in sorted({p["at"]: p for p in parts}.values(), key=lambda p: p["at"]):
-        ends = p["at"] + p["n"]
-        if (p["first"]["id"], p["first"]["at"]) == (own, p["at"]):
-            upto = -1
-        elif upto == p["at"]:
-            runs[-1][1], runs[-1][5:] = ends, [p["first"]["id"], p["first"]["at"] + p["n"]]
-            runs[-1][2] += 1
-            upto = ends
+        a, b, first, at = p["at"], p["at"] + p["n"], p["first"]["id"], p["first"]["at"]
+        if runs and runs[-1][1] == a:
+            runs[-1][1] = b
         else:
-            runs.append([p["at"], ends, 1, p["first"]["id"], p["first"]["at"], p["first"]["id"], p["first"]["at"] + p["n"]])
-            upto = ends
-    return [tuple(r) for r in runs]
+            runs.append([a, b])
+        if (first, at) == (own, a):
+            continue
+        if same and same[-1][1] == a and same[-1][2] == first and at - same[-1][3] == a - same[-1][0]:
+            same[-1][1] = b
+        else:
+            same.append([a, b, first, at])
+    return runs, same
 
 
-def _candidates(own: DataFrame, kind: str, run_words: int) -> DataFrame:
-    """The runs of all documents: id, a, b, n_chunks, l_id, l_at, r_id, r_at."""
+def _candidates(own: DataFrame, run_words: int) -> DataFrame:
+    """(of, parts): each document's chunks that stand elsewhere too, with where they stand first."""
     # The aggregation combines before the shuffle, so a passage in a third of all
     # documents arrives as one row a task. The join's large partitions are split at run time.
     first = own.groupBy("high", "low").agg(F.min(F.struct("id", "at")).alias("first"), F.count(F.lit(1)).alias("copies")).filter("copies > 1").drop("copies")
     repeated = own.join(first, ["high", "low"]).select("id", "at", "n", "first")
-    listed = repeated.groupBy("id").agg(F.collect_list(F.struct("at", "n", "first")).alias("parts"))  # no more than the document's text
-    names = ["id", "a", "b", "n_chunks", "l_id", "l_at", "r_id", "r_at"]
+    listed = repeated.groupBy(F.col("id").alias("of")).agg(F.collect_list(F.struct("at", "n", "first")).alias("parts"), F.sum("n").alias("total"))  # no more than the document's text
+    return listed.filter(F.col("total") >= run_words).drop("total")
+
+
+def _windows(docs: DataFrame, listed: DataFrame, kind: str, span_words: int, run_words: int) -> DataFrame:
+    """(id, at, high, low): the 96-bit digests of the windows of span_words words in and around runs,
+    without those inside a stretch. The first occurrence of a window is in no stretch, so it is never left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [(i.as_py(), *r) for i, parts in zip(batch.column(0), batch.column(1), strict=True) for r in _runs(i.as_py(), parts.as_py()) if r[1] - r[0] >= run_words]
-            columns = list(zip(*rows, strict=True)) or [[]] * len(names)
-            of, small = batch.schema.field(0).type, pa.int32()
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [of, small, small, small, of, small, of, small], strict=True)], names=names)
+        import xxhash
 
-    return listed.mapInArrow(run, f"id {kind}, a int, b int, n_chunks int, l_id {kind}, l_at int, r_id {kind}, r_at int")
+        digest = xxhash.xxh3_128_digest
+        for batch in batches:
+            ids, at, digests, rows = [], [], [], 0
 
+            def made() -> pa.RecordBatch:
+                d = np.frombuffer(b"".join(digests), np.dtype([("high", ">i8"), ("low", ">i4"), ("rest", ">i4")]))
+                where = np.concatenate([np.full(k, i) for i, k in ids])
+                return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(where)), pa.array(np.concatenate(at), pa.int32()), pa.array(d["high"].astype(np.int64)), pa.array(d["low"].astype(np.int32))], names=["id", "at", "high", "low"])
 
-def _neighbours(docs: DataFrame, wanted: DataFrame, kind: str) -> DataFrame:
-    """(id, at, left, words): the words before (left) or from a place on, BEYOND of them, for each wanted place."""
-    places = wanted.distinct().groupBy("id").agg(F.collect_list(F.struct("at", "left")).alias("places")).withColumnRenamed("id", "of")
+            for i, (own, text, parts) in enumerate(zip(*batch.columns, strict=True)):
+                runs, same = _stretches(own.as_py(), parts.as_py())
+                runs = [r for r in runs if r[1] - r[0] >= run_words]
+                words = text.as_py().encode().split() if runs else []
+                if len(words) < span_words:
+                    continue
+                wanted = np.zeros(len(words) - span_words + 1, bool)
+                for a, b in runs:
+                    wanted[max(0, a - BEYOND) : max(0, b + BEYOND - span_words + 1)] = True
+                for a, b, _, _ in same:
+                    wanted[a : max(a, b - span_words + 1)] = False
+                if not (places := np.flatnonzero(wanted)).size:
+                    continue
+                starts = np.zeros(len(words) + 1, np.int64)
+                np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1, out=starts[1:])
+                joined = b" ".join(words)
+                digests += [digest(joined[x:y]) for x, y in zip(starts[places].tolist(), (starts[places + span_words] - 1).tolist(), strict=True)]
+                ids.append((i, len(places)))
+                at.append(places.astype(np.int32))
+                if (rows := rows + len(places)) >= 200_000:
+                    yield made()
+                    ids, at, digests, rows = [], [], [], 0
+            if ids:
+                yield made()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, at, left, found = [], [], [], []
-            for i, text, places in zip(*batch.columns, strict=True):
-                words = text.as_py().encode().split()
-                for p in places.as_py():
-                    ids.append(i.as_py())
-                    at.append(p["at"])
-                    left.append(p["left"])
-                    found.append(b" ".join(words[max(0, p["at"] - BEYOND) : p["at"]] if p["left"] else words[p["at"] : p["at"] + BEYOND]).decode())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(at, pa.int32()), pa.array(left, pa.bool_()), pa.array(found, pa.string())], names=["id", "at", "left", "words"])
+    near = docs.join(listed, docs["id"] == listed["of"]).select("id", "text", "parts")
+    return near.mapInArrow(run, f"id {kind}, at int, high long, low int")
 
-    near = docs.join(places, docs["id"] == places["of"]).select("id", "text", "places")
-    return near.mapInArrow(run, f"id {kind}, at int, left boolean, words string").dropDuplicates(["id", "at", "left"])
 
+def _joined(own: object, parts: list[dict], windows: list[dict], span_words: int) -> list[tuple]:
+    """The document's spans: first word, words, the first document of the beginning, chunks.
 
-def _agreeing(one: str, other: str, left: bool) -> str:
-    """SQL for how many words two neighbourhoods have in common, from the run outwards."""
-    split = [f"filter(split({c}, ' '), w -> w <> '')" for c in (one, other)]
-    x, y = (f"reverse({s})" for s in split) if left else split
-    same = f"zip_with({x}, {y}, (p, q) -> p <=> q)"
-    return f"IF(array_position({same}, false) > 0, array_position({same}, false) - 1, size({x}))"
+    A span goes on as long as one earlier place goes on to have its windows: from where its
+    beginning stands first, or from an earlier place of this document. Windows are equal
+    when they stand first at the same place.
+    """
+    first = {w["at"]: (w["first"]["id"], w["first"]["at"]) for w in windows}
+    for a, b, i, at in _stretches(own, parts)[1]:
+        first |= {k: (i, at + k - a) for k in range(a, b - span_words + 1)}
+    found: list[list] = []
+    seen: dict = {}
+    there = here = None
+    for k in sorted(first):
+        now, goes_on = first[k], bool(found) and k == found[-1][1] + 1
+        there = (there[0], there[1] + 1) if goes_on and there else None
+        there = there if there == now else None
+        here = here + 1 if goes_on and here is not None else None
+        here = here if here is not None and first.get(here, (own, here)) == now else None
+        if there or here is not None:
+            found[-1][1] = k
+        else:
+            found.append([k, k, now[0]])
+            there, here = now, seen.get(now)
+        seen[now] = k
+    begins = sorted({p["at"] for p in parts})
+    ends = sorted({p["at"] + p["n"] for p in parts})
+    return [(a, k + span_words - a, i, max(0, bisect_right(ends, k + span_words) - bisect_left(begins, a))) for a, k, i in found]
 
 
 def spans(docs: DataFrame, span_words: int = SPAN_WORDS, neighbours: int = NEIGHBOURS, run_words: int = RUN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each span whose words stand earlier in the corpus.
+    """One row for each span whose words stand earlier in the corpus, all in one place.
 
     Columns: the document's id, first_word and n_words of the span (words between ASCII
     white space, from 0), first_<id>, the document in which the span's beginning stands
-    first, and n_chunks, the whole chunks in it. Earlier is a lesser (id, word); a
+    first, and n_chunks, the whole chunks in it that stand elsewhere too. Earlier is a lesser (id, word); a
     document's own earlier words count too, and rows with the same id are one document.
     Spans have span_words words at least and may overlap. Null, empty and blank texts and
     null ids have no spans; an empty table gives an empty result; extra columns are not read.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("id IS NOT NULL AND text IS NOT NULL")
-    own = materialize(chunks(texts, neighbours, LONGEST, "id", "text"), "chunks")
-    runs = materialize(_candidates(own, kind, run_words), "runs")
-    place = lambda i, at, left: runs.select(F.col(i).alias("id"), F.col(at).alias("at"), F.lit(left).alias("left"))
-    near = materialize(_neighbours(texts, place("id", "a", True).union(place("id", "b", False)).union(place("l_id", "l_at", True)).union(place("r_id", "r_at", False)), kind), "neighbours")
-    out = runs
-    for i, at, left, name in (("id", "a", True, "d_left"), ("id", "b", False, "d_right"), ("l_id", "l_at", True, "f_left"), ("r_id", "r_at", False, "f_right")):
-        side = near.filter(F.col("left") == left).select(F.col("id").alias("n_id"), F.col("at").alias("n_at"), F.col("words").alias(name))
-        out = out.join(side, (F.col(i) == F.col("n_id")) & (F.col(at) == F.col("n_at"))).drop("n_id", "n_at")
-    grown = out.withColumn("more_left", F.expr(_agreeing("d_left", "f_left", True))).withColumn("more_right", F.expr(_agreeing("d_right", "f_right", False)))
-    return grown.select(
-        F.col("id").alias(id_col), (F.col("a") - F.col("more_left")).cast("int").alias("first_word"), (F.col("b") - F.col("a") + F.col("more_left") + F.col("more_right")).cast("int").alias("n_words"), F.col("l_id").alias(f"first_{id_col}"), "n_chunks"
-    ).filter(F.col("n_words") >= span_words)
+    listed = materialize(_candidates(materialize(chunks(texts, neighbours, LONGEST, "id", "text"), "chunks"), run_words), "candidates")
+    windows = materialize(_windows(texts, listed, kind, span_words, run_words), "windows")
+    # As for chunks: combined before the shuffle, and nothing above the join needs a digest's rows together.
+    first = windows.groupBy("high", "low").agg(F.min(F.struct("id", "at")).alias("first"), F.count(F.lit(1)).alias("copies")).filter("copies > 1").drop("copies")
+    later = windows.join(first, ["high", "low"]).filter("id <> first.id OR at <> first.at")
+    grouped = later.groupBy("id").agg(F.collect_list(F.struct("at", "first")).alias("windows"))  # one a word at most
+    both = listed.join(grouped, F.col("of") == F.col("id"), "left").select("of", "parts", F.coalesce("windows", F.array()).alias("windows"))
+    names = [id_col, "first_word", "n_words", f"first_{id_col}", "n_chunks"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(i.as_py(), *r) for i, parts, found in zip(*batch.columns, strict=True) for r in _joined(i.as_py(), parts.as_py(), found.as_py(), span_words)]
+            columns = list(zip(*rows, strict=True)) or [[]] * len(names)
+            of, small = batch.schema.field(0).type, pa.int32()
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [of, small, small, of, small], strict=True)], names=names)
+
+    return both.mapInArrow(run, f"`{id_col}` {kind}, first_word int, n_words int, `first_{id_col}` {kind}, n_chunks int")
 
 
 def _without(text: str, ranges: list[tuple[int, int]]) -> str:
