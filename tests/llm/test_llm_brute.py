@@ -212,6 +212,15 @@ def test_substring_sees_every_earlier_place_and_only_those(spark, docs):
     assert got == hit and len(hit) > 15
 
 
+def test_lines_in_another_order_are_no_repeat(spark):
+    """Every two neighbouring lines stand in some earlier document, and no 50 words in any one."""
+    lines = [" ".join(f"line{k}word{j}" for j in range(24)) for k in range(8)]
+    rows = [(k, f"start{k} {lines[k]} {lines[k + 1]} end{k}") for k in range(7)] + [(7, " ".join(lines))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert substring.spans(frame).count() == 0
+    assert sorted(map(tuple, substring.remove_repeats(frame).collect())) == rows
+
+
 def test_substring_survives_insertions(docs):
     """Cuts beyond a few words around an insertion are where they were."""
     words = max(docs.text, key=len).encode().split()[:2000]
