@@ -248,6 +248,14 @@ def test_url_rules_and_templates(spark):
     assert {got[k]["verdict"] for k in range(100, 130)} == {"block"} and {got[k]["verdict"] for k in range(200, 230)} == {"allow"}
 
 
+def test_url_tree_is_as_deep_as_paths(spark):
+    rows = [(k, f"http://deep.org/a/b/c/d/shop/{k}") for k in range(30)] + [(k, f"http://deep.org/a/b/c/d/docs/{k}") for k in range(30, 60)]
+    labels = spark.createDataFrame([(str(k), k < 30) for k in range(60)], "path_key string, bad boolean")
+    got = {r["page_id"]: (r["verdict"], r["template"]) for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string"), labels, []).collect()}
+    assert {v[0] for k, v in got.items() if k < 30} == {"block"} and {v[0] for k, v in got.items() if k >= 30} == {"allow"}
+    assert len({v[1] for v in got.values()}) == 2
+
+
 def test_toxicity_learns_and_unmasks(spark):
     d = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")

@@ -16,7 +16,7 @@ from tidewright.llm.common import LOWER, UPPER, ascii_lower, materialize
 #: (verdict, host and path): a rule holds for its host and all subdomains, where the
 #: url's path starts with the rule's; the longest rule wins.
 RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
-#: Levels of the tree; deeper segments are one wildcard.
+#: Segments up to which the oracle's SQL follows a path; judge() follows all of them.
 DEPTH = 4
 #: A place with so many different segments, one in so many rows at least, is variable.
 MANY, SPREAD = 12, 4
@@ -97,7 +97,7 @@ def judge(pages: DataFrame, labelled: DataFrame, rules: list[tuple[str, str]] |
     rule, verdict = matched(F.col("host"), F.col("path"), RULES if rules is None else rules)
     base = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path")).withColumns({"rule": rule, "said": verdict})
     shape = F.expr(f"filter(split(regexp_replace(path, '[0-9]+', '#'), '/'), s -> s <> '')")
-    own = base.withColumn("shape", shape).withColumn("shape", F.expr(f"IF(size(shape) > {DEPTH}, concat(slice(shape, 1, {DEPTH}), array('**')), shape)"))
+    own = base.withColumn("shape", shape)
     own = materialize(own.withColumn("key", F.regexp_extract("path", "([0-9]+)[^0-9]*$", 1)), "pages")
 
     marks = labelled.select(F.col("path_key").alias("key"), "bad").filter("key IS NOT NULL AND key <> '' AND bad IS NOT NULL").groupBy("key").agg(F.max("bad").alias("bad"))
@@ -107,7 +107,7 @@ def judge(pages: DataFrame, labelled: DataFrame, rules: list[tuple[str, str]] |
     shapes = counts.join(found, ["host", "shape"], "left").na.fill(0, ["labelled", "bad"])
 
     shapes = materialize(shapes, "shapes")
-    deepest = shapes.agg(F.max(F.size("shape"))).first()[0] or 0  # DEPTH + 1 at most
+    deepest = shapes.agg(F.max(F.size("shape"))).first()[0] or 0
     templates = _generalised(shapes, deepest)
     branches = materialize(_merged(templates, deepest), "branches")
     totals = branches.agg(F.sum("labelled"), F.sum("bad")).first()
