@@ -1,13 +1,19 @@
 """Substring dedup (operator 1): content-defined chunking with a gear rolling hash.
 
-A text is its words joined by single spaces. A gear hash rolls over its bytes; a word end
-whose hash is the least among its neighbours' is a cut. Where a cut falls depends on a
-few words around it and nothing else, so an insertion moves no cut beyond them, and a
-passage that two documents share has the same cuts in both. Chunks with equal digests
-are the same text, and only around runs of chunks that stand elsewhere can a long
+A text is its words joined by single spaces. A gear hash rolls over its bytes, and of every
+WINDOW word ends in a row the one with the least hash is a cut. Where a cut falls depends on
+the words around it and nothing else, so an insertion moves no cut beyond them. Chunks with
+equal digests are the same text, and only around runs of chunks that stand elsewhere can a
 passage repeat. There every window of SPAN_WORDS words is looked up by its own digest; a
 window whose chunks all follow one another in the first document needs no look-up.
 Repeated windows that follow one another in one earlier place are the spans that go.
+
+Nothing is missed. The gear hash sees 16 bytes, CONTEXT words at most. In a passage of S
+words that stands in two places, the first cut by WINDOW word ends that lie CONTEXT words
+inside is among the first CONTEXT + WINDOW words, the last cut among the last WINDOW, and all
+cuts between are the same in both. So a run of whole chunks that both have begins CONTEXT +
+WINDOW words after the passage's start at the latest and reaches up to WINDOW - 1 words
+before its end at least: S - 2 WINDOW - CONTEXT + 1 words, 11 for the 50 of SPAN_WORDS.
 """
 
 from __future__ import annotations
@@ -18,26 +24,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.llm.common import materialize
 
-#: Word ends on each side among which a cut has the least hash.
-NEIGHBOURS = 4
-#: Words after which a chunk without a cut ends.
-LONGEST = 64
+#: Word ends in a row of which the one with the least hash is a cut.
+WINDOW = 16
+#: Words that hold the 16 bytes before a word's end, of two bytes each at least.
+CONTEXT = 8
 #: Words from which on a repeated span counts.
 SPAN_WORDS = 50
-#: Words of a run of repeated chunks that is looked at more closely: a shared passage loses
-#: the words before its first cut and after its last one, 18 on average. Of 2000 random
-#: passages of 51 words none had a run below 12.
-RUN_WORDS = 10
-#: Words beyond a run of which windows are looked up. A passage ends within the chunk beyond
-#: its last whole one and the words that decide a cut: LONGEST and 12 more.
-BEYOND = LONGEST + 12
+#: Rows with ids on several texts up to which they are broadcast; beyond, the join shuffles.
+BROADCAST_ROWS = 1_000_000
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _GEAR = np.random.default_rng(20).integers(0, 1 << 16, 256, dtype=np.uint16)
+_TAG, _MARK = "tidewright tag", "tidewright shared"
 
 
 def _gear(data: np.ndarray) -> np.ndarray:
@@ -48,68 +50,134 @@ def _gear(data: np.ndarray) -> np.ndarray:
     return h
 
 
-def _cuts(words: list[bytes], joined: bytes, neighbours: int, longest: int) -> tuple[np.ndarray, np.ndarray]:
-    """First words of the chunks and one past the last, and where each word starts in joined."""
-    n = len(words)
-    starts = np.zeros(n + 1, np.int64)
-    np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1, out=starts[1:])
-    h = _gear(np.frombuffer(joined, np.uint8))[starts[1:] - 2].astype(np.int32)
-    wall = np.full(neighbours, -1, np.int32)  # no cut within reach of either end
-    padded = np.concatenate([wall, h, wall])
-    least = np.ones(n, bool)
-    for d in range(1, neighbours + 1):
-        least &= (h < padded[neighbours - d : neighbours - d + n]) & (h <= padded[neighbours + d : neighbours + d + n])
-    ends = np.concatenate([[0], np.flatnonzero(least) + 1, [n]])
-    ends = ends[np.concatenate([[True], np.diff(ends) > 0])]
-    if (gaps := np.diff(ends)).size and gaps.max() > longest:
-        ends = np.concatenate([*(np.arange(a, b, longest) for a, b in zip(ends[:-1], ends[1:], strict=True)), [n]])
-    return ends, starts
-
-
-def chunks(docs: DataFrame, neighbours: int = NEIGHBOURS, longest: int = LONGEST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, at, n, high, low): each chunk's first word, number of words and 128-bit digest."""
-    names = ["id", "at", "n", "high", "low"]
+def _starts(words: list[bytes]) -> np.ndarray:
+    """Where each word starts when joined, and where one more would."""
+    starts = np.zeros(len(words) + 1, np.int64)
+    np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1, out=starts[1:])
+    return starts
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _cuts(words: list[bytes], joined: bytes, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """First words of the chunks and one past the last, and where each word starts in joined."""
+    n, starts = len(words), _starts(words)
+    if n < window:
+        return np.array([0, n]), starts
+    h = _gear(np.frombuffer(joined, np.uint8))[starts[1:] - 2].astype(np.int64)
+    least, have = h << 32 | np.arange(n, 0, -1), 1  # of equal hashes the last word end
+    while have < window:
+        step = min(have, window - have)
+        least, have = np.minimum(least[:-step], least[step:]), have + step
+    ends = n + 1 - (least & 0xFFFFFFFF)
+    return np.unique(np.concatenate([[0], ends, [n]])), starts
+
+
+class _Digests:
+    """Rows (id, tag, at, ..., high, low) of pieces of texts, given out in batches of a bounded size."""
+
+    def __init__(self, batch: pa.RecordBatch):
+        self.batch, self.rows = batch, 0
+        self.of, self.columns, self.digests = [], [], []
+
+    def add(self, i: int, joined: bytes, begins: list[int], ends: list[int], *columns: np.ndarray) -> None:
         import xxhash
 
         digest = xxhash.xxh3_128_digest
-        for batch in batches:
-            ids, at, n, digests, rows = [], [], [], [], 0
+        self.digests += [digest(joined[x:y]) for x, y in zip(begins, ends, strict=True)]
+        self.of.append(np.full(len(begins), i))
+        self.columns.append([c.astype(np.int32) for c in columns])
+        self.rows += len(begins)
+
+    def made(self, names: list[str]) -> pa.RecordBatch:
+        """What was added, with 96 bits of each digest."""
+        d = np.frombuffer(b"".join(self.digests), np.dtype([("high", ">i8"), ("low", ">i4"), ("rest", ">i4")]))
+        of = pa.array(np.concatenate(self.of))
+        arrays = [self.batch.column(0).take(of), self.batch.column(1).take(of), *(pa.array(np.concatenate(c)) for c in zip(*self.columns, strict=True)), pa.array(d["high"].astype(np.int64)), pa.array(d["low"].astype(np.int32))]
+        self.of, self.columns, self.digests, self.rows = [], [], [], 0
+        return pa.RecordBatch.from_arrays(arrays, names=names)
+
+
+#: Digests after which a task gives out a batch.
+GIVEN_OUT = 200_000
+
 
-            def made() -> pa.RecordBatch:
-                d = np.frombuffer(b"".join(digests), ">i8").astype(np.int64).reshape(-1, 2)
-                where = np.concatenate([np.full(k, i) for i, k in ids])
-                return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(where)), pa.array(np.concatenate(at), pa.int32()), pa.array(np.concatenate(n), pa.int32()), pa.array(d[:, 0]), pa.array(d[:, 1])], names=names)
+def _tagged(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs and a tag. Id and tag tell documents apart: the tag is 0 unless the id is null or on several texts, and the text's xxhash64 then."""
+    hashed = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("key"))
+    several = hashed.groupBy("id").agg(F.min("key").alias("a"), F.max("key").alias("b")).filter("id IS NULL OR a <> b")
+    shared = materialize(several.select(F.col("id").alias(_MARK), F.lit(True).alias("is")), "shared")
+    n = shared.count()
+    if not n:
+        return docs.withColumn(_TAG, F.lit(0).cast("long"))
+    shared = shared.withColumnRenamed("is", _MARK + " is")
+    joined = docs.join(F.broadcast(shared) if n <= BROADCAST_ROWS else shared, docs[id_col].eqNullSafe(shared[_MARK]), "left")
+    return joined.withColumn(_TAG, F.when(F.col(_MARK + " is"), F.xxhash64(F.col(text_col))).otherwise(F.lit(0).cast("long"))).drop(_MARK, _MARK + " is")
 
-            for i, text in enumerate(batch.column(1)):
+
+def _chunks(texts: DataFrame, window: int, kind: str) -> DataFrame:
+    """(id, tag, at, n, high, low): each chunk's first word, number of words and 96-bit digest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["id", "tag", "at", "n", "high", "low"]
+        for batch in batches:
+            found = _Digests(batch)
+            for i, text in enumerate(batch.column(2)):
                 words = text.as_py().encode().split() if text.is_valid else []
                 if not words:
                     continue
                 joined = b" ".join(words)
-                ends, starts = _cuts(words, joined, neighbours, longest)
-                a, b = starts[ends[:-1]].tolist(), (starts[ends[1:]] - 1).tolist()
-                digests += [digest(joined[x:y]) for x, y in zip(a, b, strict=True)]
-                ids.append((i, len(a)))
-                at.append(ends[:-1].astype(np.int32))
-                n.append(np.diff(ends).astype(np.int32))
-                if (rows := rows + len(a)) >= 200_000:
-                    yield made()
-                    ids, at, n, digests, rows = [], [], [], [], 0
-            if ids:
-                yield made()
+                ends, starts = _cuts(words, joined, window)
+                found.add(i, joined, starts[ends[:-1]].tolist(), (starts[ends[1:]] - 1).tolist(), ends[:-1], np.diff(ends))
+                if found.rows >= GIVEN_OUT:
+                    yield found.made(names)
+            if found.rows:
+                yield found.made(names)
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col)).filter(F.col(text_col).isNotNull()).mapInArrow(run, f"id {kind}, at int, n int, high long, low long")
+    return texts.mapInArrow(run, f"id {kind}, tag long, at int, n int, high long, low int")
 
 
-def _stretches(own: object, parts: list[dict]) -> tuple[list[list], list[list]]:
-    """Runs (a, b) of chunks that stand elsewhere too, and stretches (a, b, first id, first word) of
+def _place() -> Column:
+    """What orders places: null ids are the greatest."""
+    return F.struct(F.col("id").isNull().alias("no_id"), "id", "tag", "at")
+
+
+def _firsts(rows: DataFrame) -> DataFrame:
+    """(high, low, f_id, f_tag, f_at): the first place of each digest that has several rows.
+
+    The aggregation combines before the shuffle, so a passage in a third of all documents
+    arrives as one row a task. Joins with it are sort-merge joins whose large partitions
+    are split at run time, and nothing above them needs a digest's rows together.
+    """
+    first = rows.groupBy("high", "low").agg(F.min(_place()).alias("first"), F.count(F.lit(1)).alias("copies")).filter("copies > 1")
+    return first.select("high", "low", F.col("first.id").alias("f_id"), F.col("first.tag").alias("f_tag"), F.col("first.at").alias("f_at"))
+
+
+def _candidates(own: DataFrame, run_words: int) -> DataFrame:
+    """(id, tag, parts): each document's chunks that stand elsewhere too, with where they stand first."""
+    repeated = own.join(_firsts(own), ["high", "low"])
+    # Sets: what they hold is no more than the document's text, however often its row is repeated.
+    listed = repeated.groupBy("id", "tag").agg(F.collect_set(F.struct("at", "n", "f_id", "f_tag", "f_at")).alias("parts"))
+    return listed.filter(F.expr("aggregate(parts, 0L, (a, p) -> a + p.n)") >= run_words)
+
+
+def _lists(column: pa.Array, *names: str) -> Iterator[list[tuple]]:
+    """A list of tuples of the named fields, in order, for each row of a list of structs."""
+    flat, k = column.flatten(), 0
+    fields = [flat.field(n).to_pylist() for n in names]
+    for size in column.value_lengths().to_pylist():
+        yield sorted(zip(*(f[k : k + (size or 0)] for f in fields), strict=True), key=lambda x: x[0])
+        k += size or 0
+
+
+PARTS = ("at", "n", "f_id", "f_tag", "f_at")
+
+
+def _stretches(own: tuple, parts: list[tuple]) -> tuple[list[list], list[list]]:
+    """Runs (a, b) of chunks that stand elsewhere too, and stretches (a, b, first document, first word) of
     later chunks whose first occurrences follow one another in one document."""
     runs: list[list] = []
     same: list[list] = []
-    for p in sorted({p["at"]: p for p in parts}.values(), key=lambda p: p["at"]):
-        a, b, first, at = p["at"], p["at"] + p["n"], p["first"]["id"], p["first"]["at"]
+    for a, n, of, tag, at in parts:
+        b, first = a + n, (of, tag)
         if runs and runs[-1][1] == a:
             runs[-1][1] = b
         else:
@@ -123,69 +191,47 @@ def _stretches(own: object, parts: list[dict]) -> tuple[list[list], list[list]]:
     return runs, same
 
 
-def _candidates(own: DataFrame, run_words: int) -> DataFrame:
-    """(of, parts): each document's chunks that stand elsewhere too, with where they stand first."""
-    # The aggregation combines before the shuffle, so a passage in a third of all
-    # documents arrives as one row a task. The join's large partitions are split at run time.
-    first = own.groupBy("high", "low").agg(F.min(F.struct("id", "at")).alias("first"), F.count(F.lit(1)).alias("copies")).filter("copies > 1").drop("copies")
-    repeated = own.join(first, ["high", "low"]).select("id", "at", "n", "first")
-    listed = repeated.groupBy(F.col("id").alias("of")).agg(F.collect_list(F.struct("at", "n", "first")).alias("parts"), F.sum("n").alias("total"))  # no more than the document's text
-    return listed.filter(F.col("total") >= run_words).drop("total")
-
+def _windows(texts: DataFrame, listed: DataFrame, kind: str, span_words: int, window: int) -> DataFrame:
+    """(id, tag, at, high, low): the 96-bit digests of the windows of span_words words that may stand elsewhere.
 
-def _windows(docs: DataFrame, listed: DataFrame, kind: str, span_words: int, run_words: int) -> DataFrame:
-    """(id, at, high, low): the 96-bit digests of the windows of span_words words in and around runs,
-    without those inside a stretch. The first occurrence of a window is in no stretch, so it is never left out."""
+    Those are the windows whose inner chunks are in one run; no other window repeats. Windows
+    inside a stretch are left out; the first occurrence of a window is in none."""
+    before, after = CONTEXT + window, span_words - window + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        digest = xxhash.xxh3_128_digest
         for batch in batches:
-            ids, at, digests, rows = [], [], [], 0
-
-            def made() -> pa.RecordBatch:
-                d = np.frombuffer(b"".join(digests), np.dtype([("high", ">i8"), ("low", ">i4"), ("rest", ">i4")]))
-                where = np.concatenate([np.full(k, i) for i, k in ids])
-                return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(where)), pa.array(np.concatenate(at), pa.int32()), pa.array(d["high"].astype(np.int64)), pa.array(d["low"].astype(np.int32))], names=["id", "at", "high", "low"])
-
-            for i, (own, text, parts) in enumerate(zip(*batch.columns, strict=True)):
-                runs, same = _stretches(own.as_py(), parts.as_py())
-                runs = [r for r in runs if r[1] - r[0] >= run_words]
+            found = _Digests(batch)
+            for i, (of, tag, text, parts) in enumerate(zip(*batch.columns[:3], _lists(batch.column(3), *PARTS), strict=True)):
+                runs, same = _stretches((of.as_py(), tag.as_py()), parts)
+                runs = [r for r in runs if r[1] - r[0] >= after - before]
                 words = text.as_py().encode().split() if runs else []
                 if len(words) < span_words:
                     continue
                 wanted = np.zeros(len(words) - span_words + 1, bool)
                 for a, b in runs:
-                    wanted[max(0, a - BEYOND) : max(0, b + BEYOND - span_words + 1)] = True
+                    wanted[max(0, a - before) : max(0, b - after + 1)] = True
                 for a, b, _, _ in same:
                     wanted[a : max(a, b - span_words + 1)] = False
-                if not (places := np.flatnonzero(wanted)).size:
-                    continue
-                starts = np.zeros(len(words) + 1, np.int64)
-                np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1, out=starts[1:])
-                joined = b" ".join(words)
-                digests += [digest(joined[x:y]) for x, y in zip(starts[places].tolist(), (starts[places + span_words] - 1).tolist(), strict=True)]
-                ids.append((i, len(places)))
-                at.append(places.astype(np.int32))
-                if (rows := rows + len(places)) >= 200_000:
-                    yield made()
-                    ids, at, digests, rows = [], [], [], 0
-            if ids:
-                yield made()
+                if (places := np.flatnonzero(wanted)).size:
+                    starts = _starts(words)
+                    found.add(i, b" ".join(words), starts[places].tolist(), (starts[places + span_words] - 1).tolist(), places)
+                if found.rows >= GIVEN_OUT:
+                    yield found.made(["id", "tag", "at", "high", "low"])
+            if found.rows:
+                yield found.made(["id", "tag", "at", "high", "low"])
 
-    near = docs.join(listed, docs["id"] == listed["of"]).select("id", "text", "parts")
-    return near.mapInArrow(run, f"id {kind}, at int, high long, low int")
+    near = texts.join(listed.select(F.col("id").alias("l_id"), F.col("tag").alias("l_tag"), "parts"), F.col("id").eqNullSafe(F.col("l_id")) & (F.col("tag") == F.col("l_tag")))
+    return near.select("id", "tag", "text", "parts").mapInArrow(run, f"id {kind}, tag long, at int, high long, low int")
 
 
-def _joined(own: object, parts: list[dict], windows: list[dict], span_words: int) -> list[tuple]:
+def _joined(own: tuple, parts: list[tuple], windows: list[tuple], span_words: int) -> list[tuple]:
     """The document's spans: first word, words, the first document of the beginning, chunks.
 
     A span goes on as long as one earlier place goes on to have its windows: from where its
     beginning stands first, or from an earlier place of this document. Windows are equal
     when they stand first at the same place.
     """
-    first = {w["at"]: (w["first"]["id"], w["first"]["at"]) for w in windows}
+    first = {at: ((of, tag), f_at) for at, of, tag, f_at in windows}
     for a, b, i, at in _stretches(own, parts)[1]:
         first |= {k: (i, at + k - a) for k in range(a, b - span_words + 1)}
     found: list[list] = []
@@ -203,40 +249,53 @@ def _joined(own: object, parts: list[dict], windows: list[dict], span_words: int
             found.append([k, k, now[0]])
             there, here = now, seen.get(now)
         seen[now] = k
-    begins = sorted({p["at"] for p in parts})
-    ends = sorted({p["at"] + p["n"] for p in parts})
-    return [(a, k + span_words - a, i, max(0, bisect_right(ends, k + span_words) - bisect_left(begins, a))) for a, k, i in found]
+    begins = [p[0] for p in parts]
+    ends = [p[0] + p[1] for p in parts]
+    return [(a, k + span_words - a, i[0], max(0, bisect_right(ends, k + span_words) - bisect_left(begins, a))) for a, k, i in found]
 
 
-def spans(docs: DataFrame, span_words: int = SPAN_WORDS, neighbours: int = NEIGHBOURS, run_words: int = RUN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def spans(docs: DataFrame, span_words: int = SPAN_WORDS, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each span whose words stand earlier in the corpus, all in one place.
 
     Columns: the document's id, first_word and n_words of the span (words between ASCII
     white space, from 0), first_<id>, the document in which the span's beginning stands
-    first, and n_chunks, the whole chunks in it that stand elsewhere too. Earlier is a lesser (id, word); a
-    document's own earlier words count too, and rows with the same id are one document.
-    Spans have span_words words at least and may overlap. Null, empty and blank texts and
-    null ids have no spans; an empty table gives an empty result; extra columns are not read.
+    first, and n_chunks, the whole chunks in it that stand elsewhere too. Earlier is a
+    lesser (id, hash of the text where the id is null or on several texts, word), null ids
+    being the greatest; a document's own earlier words count too. Rows with the same id and
+    text are one document and have their spans once; rows with the same id and different
+    texts are different documents, and so are rows with null ids. Spans have span_words
+    words at least and may overlap. Null, empty and blank texts have no spans; an empty table
+    gives an empty result; extra columns are not read. A window that is too wide for the
+    passages wanted is an error.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("id IS NOT NULL AND text IS NOT NULL")
-    listed = materialize(_candidates(materialize(chunks(texts, neighbours, LONGEST, "id", "text"), "chunks"), run_words), "candidates")
-    windows = materialize(_windows(texts, listed, kind, span_words, run_words), "windows")
-    # As for chunks: combined before the shuffle, and nothing above the join needs a digest's rows together.
-    first = windows.groupBy("high", "low").agg(F.min(F.struct("id", "at")).alias("first"), F.count(F.lit(1)).alias("copies")).filter("copies > 1").drop("copies")
-    later = windows.join(first, ["high", "low"]).filter("id <> first.id OR at <> first.at")
-    grouped = later.groupBy("id").agg(F.collect_list(F.struct("at", "first")).alias("windows"))  # one a word at most
-    both = listed.join(grouped, F.col("of") == F.col("id"), "left").select("of", "parts", F.coalesce("windows", F.array()).alias("windows"))
-    names = [id_col, "first_word", "n_words", f"first_{id_col}", "n_chunks"]
+    own = _tagged(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", "text")
+    return _spans(own.select("id", F.col(_TAG).alias("tag"), "text"), span_words, window, kind, id_col).drop("tag")
+
+
+def _spans(texts: DataFrame, span_words: int, window: int, kind: str, id_col: str) -> DataFrame:
+    """spans() of texts (id, tag, text), with the tag."""
+    if (run_words := span_words - 2 * window - CONTEXT + 1) < 1:
+        raise ValueError(f"{span_words} words may hold no whole chunk of {window}")
+    texts = texts.filter("text IS NOT NULL")
+    listed = materialize(_candidates(materialize(_chunks(texts, window, kind), "chunks"), run_words), "candidates")
+    windows = materialize(_windows(texts, listed, kind, span_words, window), "windows")
+    later = windows.join(_firsts(windows), ["high", "low"]).filter("NOT (id <=> f_id AND tag = f_tag AND at = f_at)")
+    grouped = later.groupBy(F.col("id").alias("w_id"), F.col("tag").alias("w_tag")).agg(F.collect_set(F.struct("at", "f_id", "f_tag", "f_at")).alias("windows"))  # one a word at most
+    both = listed.join(grouped, F.col("id").eqNullSafe(F.col("w_id")) & (F.col("tag") == F.col("w_tag")), "left").select("id", "tag", "parts", "windows")
+    names = [id_col, "first_word", "n_words", f"first_{id_col}", "n_chunks", "tag"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(i.as_py(), *r) for i, parts, found in zip(*batch.columns, strict=True) for r in _joined(i.as_py(), parts.as_py(), found.as_py(), span_words)]
+            rows = []
+            for of, tag, parts, found in zip(*batch.columns[:2], _lists(batch.column(2), *PARTS), _lists(batch.column(3), "at", "f_id", "f_tag", "f_at"), strict=True):
+                own = (of.as_py(), tag.as_py())
+                rows += [(own[0], *r, own[1]) for r in _joined(own, parts, found, span_words)]
             columns = list(zip(*rows, strict=True)) or [[]] * len(names)
             of, small = batch.schema.field(0).type, pa.int32()
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [of, small, small, of, small], strict=True)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [of, small, small, of, small, pa.int64()], strict=True)], names=names)
 
-    return both.mapInArrow(run, f"`{id_col}` {kind}, first_word int, n_words int, `first_{id_col}` {kind}, n_chunks int")
+    return both.mapInArrow(run, f"`{id_col}` {kind}, first_word int, n_words int, `first_{id_col}` {kind}, n_chunks int, tag long")
 
 
 def _without(text: str, ranges: list[tuple[int, int]]) -> str:
@@ -252,11 +311,16 @@ def _without(text: str, ranges: list[tuple[int, int]]) -> str:
 def remove_repeats(docs: DataFrame, span_words: int = SPAN_WORDS, id_col: str = "doc_id", text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
     """The rows of docs without the spans that stand earlier; size_col, if there, is the new length.
 
-    Every row stays, if with an empty text. Rows with nothing to remove are as they were.
+    Every row stays, if with an empty text, and loses the spans of its own text, whatever
+    other rows have its id. Rows alike in id and text are one document: they lose the same
+    words, and none of them is a copy of another. Rows with nothing to remove are as they
+    were, null texts too; so are the other columns. An empty table gives an empty result.
     """
-    cut = spans(docs, span_words, id_col=id_col, text_col=text_col).groupBy(F.col(id_col).alias("_of")).agg(F.collect_list(F.struct("first_word", "n_words")).alias("_cut"))
-    joined = docs.join(cut, docs[id_col] == cut["_of"], "left").drop("_of")
-    names = docs.columns
+    kind, names = docs.schema[id_col].dataType.simpleString(), docs.columns
+    tagged = _tagged(docs, id_col, text_col)
+    found = _spans(tagged.select(F.col(id_col).alias("id"), F.col(_TAG).alias("tag"), F.col(text_col).alias("text")), span_words, WINDOW, kind, "id")
+    cut = found.groupBy(F.col("id").alias(_MARK + " of"), F.col("tag").alias(_MARK + " tag")).agg(F.collect_list(F.struct("first_word", "n_words")).alias(_MARK + " cut"))
+    joined = tagged.join(cut, tagged[id_col].eqNullSafe(cut[_MARK + " of"]) & (tagged[_TAG] == cut[_MARK + " tag"]), "left").select(*(tagged[f"`{c}`"] for c in names), _MARK + " cut")
     k, has_size = names.index(text_col), size_col in names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
