@@ -6,7 +6,8 @@ the words around it and nothing else, so an insertion moves no cut beyond them.
 equal digests are the same text, and only around runs of chunks that stand elsewhere can a
 passage repeat. There every window of SPAN_WORDS words is looked up by its own digest; a
 window whose chunks all follow one another in the first document needs no look-up.
-Repeated windows that follow one another in one earlier place are the spans that go.
+Repeated windows that follow one another in one earlier place are the spans that go. A text
+that stands whole in an earlier row is one span and is not chunked.
 
 Nothing is missed. The gear hash sees 16 bytes, CONTEXT words at most. In a passage of S
 words that stands in two places, the first cut by WINDOW word ends that lie CONTEXT words
@@ -19,7 +20,6 @@ before its end at least: S - 2 WINDOW - CONTEXT + 1 words, 11 for the 50 of SPAN
 from __future__ import annotations
 
 import re
-from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import materialize
+from tidewright.llm.common import WHITE, materialize, words_of
 
 #: Word ends in a row of which the one with the least hash is a cut.
 WINDOW = 16
@@ -35,7 +35,7 @@ WINDOW = 16
 CONTEXT = 8
 #: Words from which on a repeated span counts.
 SPAN_WORDS = 50
-#: Rows with ids on several texts up to which they are broadcast; beyond, the join shuffles.
+#: Ids on several texts, and copies of whole texts, up to which they are broadcast; beyond, the join shuffles.
 BROADCAST_ROWS = 1_000_000
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _GEAR = np.random.default_rng(20).integers(0, 1 << 16, 256, dtype=np.uint16)
@@ -225,7 +225,7 @@ def _windows(texts: DataFrame, listed: DataFrame, kind: str, span_words: int, wi
 
 
 def _joined(own: tuple, parts: list[tuple], windows: list[tuple], span_words: int) -> list[tuple]:
-    """The document's spans: first word, words, the first document of the beginning, chunks.
+    """The document's spans: first word, words, the first document of the beginning.
 
     A span goes on as long as one earlier place goes on to have its windows: from where its
     beginning stands first, or from an earlier place of this document. Windows are equal
@@ -249,17 +249,24 @@ def _joined(own: tuple, parts: list[tuple], windows: list[tuple], span_words: in
             found.append([k, k, now[0]])
             there, here = now, seen.get(now)
         seen[now] = k
-    begins = [p[0] for p in parts]
-    ends = [p[0] + p[1] for p in parts]
-    return [(a, k + span_words - a, i[0], max(0, bisect_right(ends, k + span_words) - bisect_left(begins, a))) for a, k, i in found]
+    return [(a, k + span_words - a, i[0]) for a, k, i in found]
+
+
+def _copies(texts: DataFrame) -> DataFrame:
+    """(id, tag, n_words, f_id): texts that stand whole in an earlier row, by their MD5."""
+    whole = materialize(texts.select("id", "tag", F.unhex(F.md5("text")).alias("whole"), F.size(words_of(F.col("text"), WHITE)).alias("n_words")), "texts")
+    first = whole.groupBy("whole").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "tag")).alias("first"), F.count(F.lit(1)).alias("copies")).filter("copies > 1")
+    first = first.select("whole", F.col("first.id").alias("f_id"), F.col("first.tag").alias("f_tag"))
+    later = whole.join(first, "whole").filter("NOT (id <=> f_id AND tag = f_tag)")
+    return materialize(later.select("id", "tag", "n_words", "f_id"), "copies")
 
 
 def spans(docs: DataFrame, span_words: int = SPAN_WORDS, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each span whose words stand earlier in the corpus, all in one place.
 
     Columns: the document's id, first_word and n_words of the span (words between ASCII
-    white space, from 0), first_<id>, the document in which the span's beginning stands
-    first, and n_chunks, the whole chunks in it that stand elsewhere too. Earlier is a
+    white space, from 0), and first_<id>, the document in which the span's beginning stands
+    first, or, where the whole text stands earlier, the first with that text. Earlier is a
     lesser (id, hash of the text where the id is null or on several texts, word), null ids
     being the greatest; a document's own earlier words count too. Rows with the same id and
     text are one document and have their spans once; rows with the same id and different
@@ -278,12 +285,16 @@ def _spans(texts: DataFrame, span_words: int, window: int, kind: str, id_col: st
     if (run_words := span_words - 2 * window - CONTEXT + 1) < 1:
         raise ValueError(f"{span_words} words may hold no whole chunk of {window}")
     texts = texts.filter("text IS NOT NULL")
+    copies = _copies(texts)
+    left_out = copies.select(F.col("id").alias("c_id"), F.col("tag").alias("c_tag")).distinct()
+    left_out = F.broadcast(left_out) if copies.count() <= BROADCAST_ROWS else left_out
+    texts = texts.join(left_out, F.col("id").eqNullSafe(F.col("c_id")) & (F.col("tag") == F.col("c_tag")), "left_anti")
     listed = materialize(_candidates(materialize(_chunks(texts, window, kind), "chunks"), run_words), "candidates")
     windows = materialize(_windows(texts, listed, kind, span_words, window), "windows")
     later = windows.join(_firsts(windows), ["high", "low"]).filter("NOT (id <=> f_id AND tag = f_tag AND at = f_at)")
     grouped = later.groupBy(F.col("id").alias("w_id"), F.col("tag").alias("w_tag")).agg(F.collect_set(F.struct("at", "f_id", "f_tag", "f_at")).alias("windows"))  # one a word at most
     both = listed.join(grouped, F.col("id").eqNullSafe(F.col("w_id")) & (F.col("tag") == F.col("w_tag")), "left").select("id", "tag", "parts", "windows")
-    names = [id_col, "first_word", "n_words", f"first_{id_col}", "n_chunks", "tag"]
+    names = [id_col, "first_word", "n_words", f"first_{id_col}", "tag"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -293,9 +304,10 @@ def _spans(texts: DataFrame, span_words: int, window: int, kind: str, id_col: st
                 rows += [(own[0], *r, own[1]) for r in _joined(own, parts, found, span_words)]
             columns = list(zip(*rows, strict=True)) or [[]] * len(names)
             of, small = batch.schema.field(0).type, pa.int32()
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [of, small, small, of, small, pa.int64()], strict=True)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [of, small, small, of, pa.int64()], strict=True)], names=names)
 
-    return both.mapInArrow(run, f"`{id_col}` {kind}, first_word int, n_words int, `first_{id_col}` {kind}, n_chunks int, tag long")
+    parts = both.mapInArrow(run, f"`{id_col}` {kind}, first_word int, n_words int, `first_{id_col}` {kind}, tag long")
+    return parts.union(copies.filter(F.col("n_words") >= span_words).distinct().select("id", F.lit(0), "n_words", "f_id", "tag"))
 
 
 def _without(text: str, ranges: list[tuple[int, int]]) -> str:
