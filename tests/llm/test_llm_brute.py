@@ -288,6 +288,37 @@ def test_decontamination_short_items(spark):
     assert (r["n_words"], r["n_hit"], r["n_items"], r["contaminated"]) == (19, 16, 3, True)
 
 
+def test_licenses_whole_and_altered(spark, docs):
+    """Whole license texts within other words, with words changed: found where brute force has four fifths of the shingles."""
+    random.seed(3)
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.lower())
+    pool, rows = [w for t in docs.text[:50] for w in t.split()], []
+    for name, text in licenses.TEMPLATES.items():
+        words = split(text)
+        for each in (10**9, 60, 30, 14):  # one word in so many is another
+            own = [w if random.randrange(each) else "changed" for w in words]
+            rows.append((len(rows), " ".join(random.choices(pool, k=random.randint(0, 200)) + own + random.choices(pool, k=40))))
+    rows += [(len(rows), " ".join(split(licenses.TEMPLATES["MIT text"]) * 3)), (len(rows) + 1, " ".join(random.sample(split(licenses.TEMPLATES["GPL-3.0 text"]), 3000)))]
+    got = {(r["doc_id"], r["license"]): (r["containment"], r["first_word"], r["n_words"]) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    expected = {}
+    for i, text in rows:
+        words = split(text)
+        own = [tuple(words[k : k + 5]) for k in range(len(words) - 4)]
+        for name, template in licenses.TEMPLATES.items():
+            t = split(template)
+            m, wanted = len(t) - 4, {tuple(t[k : k + 5]) for k in range(len(t) - 4)}
+            if len(wanted & set(own)) < 0.8 * len(wanted):
+                continue
+            inside, best = Bag(x for x in own[: m - 1] if x in wanted), (0, 0)
+            for s in range(len(own)):  # the window's shingles are own[s : s + m]
+                inside.update(x for x in own[s + m - 1 : s + m] if x in wanted)
+                best = max(best, (sum(1 for x in inside.values() if x), s), key=lambda b: b[0]) if len(inside) > best[0] else best
+                inside = inside - Bag(x for x in own[s : s + 1] if x in wanted) if own[s] in wanted else inside
+            if best[0] >= 0.8 * len(wanted):
+                expected[i, name] = (round(best[0] / len(wanted), 6), best[1], len(t))
+    assert got == expected and len(expected) > 2 * len(licenses.TEMPLATES)
+
+
 def test_url_rules_and_templates(spark):
     rows = [(1, "https://a.example.com/en/1"), (2, "https://www.example.com/en/2?q"), (3, "http://X.NET/fr/3#t"), (4, "http://x.net"), (5, None), (6, "no scheme"), (7, "http://deep.www.example.com/en/"), (8, "http://example.com"), (9, "ftp://notexample.com/en/9")]
     rows += [(100 + k, f"http://spam.org/buy/{k}") for k in range(30)] + [(200 + k, f"http://spam.org/read/{k + 500}.html") for k in range(30)]

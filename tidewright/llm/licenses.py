@@ -1,26 +1,31 @@
 """License scans (operator 2): MinHash bands over overlapping windows, in DataFrame functions.
 
-A document's overlapping windows have a template's length in words. Each gets a MinHash
-signature of its five-word shingles; a window and a template that agree on a whole band
-are compared, and the share of the template's shingles that the window has is exact.
-
-Where a window has four fifths of a template's shingles and the template's length, the
-sets' Jaccard similarity is 2/3 or more. Two rows in a band agree with probability 4/9
-then, and of 20 bands one does with 1 - (5/9)^20 > 0.99999. Only windows that have some
-template's shingle are made: others have none of any template, and nothing is lost.
+A template of m five-word shingles is looked for in windows of three strides, a stride
+being half of m, so that any m shingles in a row lie in one window. A window and a template
+that agree on a band, the least of their shingles' hashes by one of BANDS functions, are
+alike. A window can only agree if it has the template's least shingle: those shingles
+are the index, and windows around them are the only ones whose bands are compared. For
+the documents and templates retrieved, a sweep over the template's shingles in the
+document gives the exact best window.
+
+A window with four fifths of a template's shingles has a Jaccard similarity of
+0.8 / (1.5 + 0.2) = 0.47 or more, of 1 / 3 for a template of one shingle. Of 24 bands one
+agrees with probability 1 - 0.53^24 > 0.9999997, and 1 - (2/3)^24 > 0.9999 for one shingle.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pathlib import Path
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewright.llm.common import NOT_ALNUM, ascii_lower, materialize, words_of
 
-SHINGLE, BANDS, ROWS, CONTAINMENT = 5, 20, 2, 0.8
-#: Public license notices, by SPDX identifier. Notices of fewer than five words have one
-#: shingle, all their words, and can't be told from other text; there are none.
-TEMPLATES = {
+SHINGLE, BANDS, CONTAINMENT = 5, 24, 0.8
+#: Public license notices, by SPDX identifier and, where there are more, the part quoted. Whole texts are in license_texts.
+#: Notices of fewer than five words have no shingle and can't be told from other text; there are none.
+NOTICES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "MIT": "Released under the MIT License.",
     "MIT grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
@@ -33,20 +38,23 @@ TEMPLATES = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
-#: Templates are compared by a join that broadcasts their bands; so many are few megabytes.
-MOST_TEMPLATES = 5_000
+#: Whole texts by name, "<SPDX identifier> text", beside the notices.
+TEMPLATES = NOTICES | {f"{p.stem} text": p.read_text(encoding="utf-8") for p in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))}
+#: Templates up to which the index, BANDS rows of 40 bytes for each, is broadcast; beyond, the join shuffles.
+BROADCAST_TEMPLATES = 20_000
+#: Documents with an indexed shingle up to which their ids are broadcast to find their texts; beyond, the join shuffles.
+BROADCAST_ROWS = 1_000_000
 
 
-def _shingles(words: str) -> str:
-    parts = ", ".join(f"{words}[i + {j}]" for j in range(SHINGLE))
-    return f"IF(size({words}) < {SHINGLE}, CAST(array() AS ARRAY<BIGINT>), transform(sequence(0, size({words}) - {SHINGLE}), i -> xxhash64({parts})))"
+def _shingles(hashes: str) -> str:
+    """Hashes of all five consecutive words, from the words' hashes."""
+    parts = ", ".join(f"{hashes}[i + {j}]" for j in range(SHINGLE))
+    return f"IF(size({hashes}) < {SHINGLE}, CAST(array() AS ARRAY<BIGINT>), transform(sequence(0, size({hashes}) - {SHINGLE}), i -> xxhash64({parts})))"
 
 
-def _bands(shingles: str) -> str:
-    """Hashes of the bands of the MinHash signature."""
-    least = f"transform(sequence(0, {BANDS * ROWS - 1}), j -> array_min(transform({shingles}, x -> xxhash64(x, j))))"
-    rows = ", ".join(f"signature[b * {ROWS} + {r}]" for r in range(ROWS))
-    return f"transform(array({least}), signature -> transform(sequence(0, {BANDS - 1}), b -> xxhash64(b, {rows})))[0]"
+def _own(rows: DataFrame, text: str, *names: str) -> DataFrame:
+    hashed = rows.select(*names, F.transform(words_of(ascii_lower(F.col(text)), NOT_ALNUM), lambda w: F.xxhash64(w)).alias("words"))
+    return hashed.select(*names, F.size("words").alias("size"), F.expr(_shingles("words")).alias("own"))
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, containment: float = CONTAINMENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -57,45 +65,51 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, containment:
     template's five-word shingles that a window has, from `containment` on; first_word is
     the first such window's first word, from 0. Null, empty and short texts have no license.
     Repeated rows with equal ids and texts give their licenses once; a null id is an id of
-    its own; an empty table gives an empty result; extra columns are not read.
+    its own; an empty table gives an empty result; extra columns are not read. Templates of
+    fewer than five words are found nowhere; without templates the result is empty.
     """
     spark = docs.sparkSession
     named = TEMPLATES if templates is None else templates
-    if len(named) > MOST_TEMPLATES:
-        raise ValueError(f"more than {MOST_TEMPLATES} templates")
-    texts = spark.createDataFrame(list(named.items()), "license string, text string").select("license", words_of(ascii_lower(F.col("text")), NOT_ALNUM).alias("words"))
-    wanted = texts.select("license", F.size("words").alias("n_words"), F.expr(f"array_distinct({_shingles('words')})").alias("shingles")).filter("size(shingles) > 0")
-    wanted = materialize(wanted.withColumn("bands", F.expr(_bands("shingles"))), "templates")
-    # Literals of the plan: the templates' shingles by length, MOST_TEMPLATES texts at most.
-    by_length = {r["n_words"]: sorted(r["s"]) for r in wanted.select("n_words", F.explode("shingles").alias("s")).groupBy("n_words").agg(F.collect_set("s").alias("s")).collect()}
-    if not by_length:
-        return docs.select(F.col(id_col), F.lit("").alias("license"), F.lit(0.0).alias("containment"), F.lit(0).alias("first_word"), F.lit(0).alias("n_words")).filter("false")
-
-    own = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("key"), words_of(ascii_lower(F.col(text_col)), NOT_ALNUM).alias("words"))
-    own = own.select("id", "key", F.expr(_shingles("words")).alias("own"))
-    every = ", ".join(f"{s}L" for s in sorted({s for v in by_length.values() for s in v}))
-    own = own.withColumn("hits", F.expr(f"filter(transform(own, (x, i) -> IF(x IN ({every}), i, -1)), i -> i >= 0)"))
-    # No filter on hits: it would be pushed below and split the text again for every shingle.
-
-    def starts(n: int) -> str:
-        """Windows of n words that have a hit of a template with n words."""
-        m = n - SHINGLE + 1
-        mine = f"filter(hits, i -> own[i] IN ({', '.join(f'{s}L' for s in by_length[n])}))"
-        return f"transform(array_distinct(flatten(transform({mine}, i -> sequence(greatest(i - {m - 1}, 0), i)))), s -> named_struct('n_words', {n}, 'at', s, 'shingles', array_distinct(slice(own, s + 1, {m}))))"
-
-    windows = own.select("id", "key", F.explode(F.expr(f"concat({', '.join(starts(n) for n in by_length)})")).alias("x")).select("id", "key", "x.*")
-    banded = windows.select("*", F.posexplode(F.expr(_bands("shingles"))).alias("b", "band"))
-    kept = wanted.select(F.col("license"), "n_words", F.col("shingles").alias("of_template"), F.posexplode("bands").alias("b", "band"))
-    near = banded.join(F.broadcast(kept), ["n_words", "b", "band"])
-    matched = near.select(
-        "id", "key", "license", "n_words", "at", F.expr("size(array_intersect(of_template, shingles))").alias("common"), F.size("of_template").alias("of")
-    ).filter(F.col("common") >= F.lit(containment) * F.col("of"))
-    best = matched.groupBy("id", "key", "license", "n_words", "of").agg(F.max(F.struct("common", (-F.col("at")).alias("back"))).alias("m"))
-    return best.select(F.col("id").alias(id_col), "license", F.round(F.col("m.common") / F.col("of"), 6).alias("containment"), (-F.col("m.back")).alias("first_word"), "n_words")
+    wanted = materialize(_own(spark.createDataFrame(list(named.items()), "license string, text string"), "text", "license"), "shingles")
+    wanted = materialize(wanted.filter("size(own) > 0").select("license", F.col("size").alias("n_words"), F.size("own").alias("m"), F.array_distinct("own").alias("own")), "templates")
+    least = f"transform(sequence(0, {BANDS - 1}), j -> array_min(transform(own, x -> named_struct('least', xxhash64(x, j), 'x', x, 'band', j))))"
+    index = wanted.select("license", F.expr("(m + 1) div 2").cast("int").alias("stride"), F.explode(F.expr(least)).alias("b")).select("license", "stride", "b.*")
+
+    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
+    # An explode of the bare column would bring a filter on its size, which is pushed below and splits the text again for every shingle.
+    places = _own(texts, "text", "id", "key").select("id", "key", F.posexplode(F.slice("own", 1, 2**31 - 1)).alias("p", "x"))
+    held = places.join(F.broadcast(index) if len(named) <= BROADCAST_TEMPLATES else index, "x")
+    # The windows that have the shingle: at most three, and each band asks for them once.
+    asked = held.withColumn("window", F.explode(F.expr("sequence(greatest(p div stride - 2, 0), p div stride)"))).select("id", "key", F.struct("license", "stride", "band", "least", "window").alias("asked"))
+    asked = materialize(asked.groupBy("id", "key").agg(F.collect_set("asked").alias("asked")), "asked")  # of one document
+    who = asked.select(F.col("id").alias("a_id"), F.col("key").alias("a_key"))
+    same = F.col("id").eqNullSafe(F.col("a_id")) & (F.col("key") == F.col("a_key"))
+    near = texts.join(F.broadcast(who) if asked.count() <= BROADCAST_ROWS else who, same, "left_semi")
+    near = materialize(_own(near, "text", "id", "key").dropDuplicates(["id", "key"]), "near")
+
+    alike = "filter(asked, a -> NOT exists(slice(own, int(a.window * a.stride + 1), 3 * a.stride), x -> xxhash64(x, a.band) < a.least))"
+    found = near.join(asked.withColumnsRenamed({"id": "a_id", "key": "a_key"}), same).select("id", "key", "own", F.expr(f"array_distinct(transform({alike}, a -> a.license))").alias("licenses"))
+    found = materialize(found, "found")
+    pairs = found.select("id", "key", F.explode("licenses").alias("license"))
+    at = found.select("id", "key", F.posexplode("own").alias("p", "x"))
+    of_template = wanted.select("license", "n_words", "m", F.size("own").alias("of"), F.explode("own").alias("x"))
+    hits = at.join(of_template, "x").join(pairs.select(F.col("id").alias("a_id"), F.col("key").alias("a_key"), F.col("license").alias("a_license")), same & (F.col("license") == F.col("a_license")), "left_semi")
+
+    # A place counts for the windows that have it and no earlier place of its shingle. Their
+    # first shingles are from `begin` on up to the place: sums of these steps are the counts.
+    # All windows here are over one document.
+    group = ["id", "key", "license", "n_words", "m", "of"]
+    before = F.lag("p").over(Window.partitionBy(*group, "x").orderBy("p"))
+    steps = hits.withColumn("begin", F.greatest(F.coalesce(before + 1, F.lit(0)), F.expr("p - m + 1"), F.lit(0)))
+    steps = steps.select(*group, F.explode(F.expr("array(named_struct('s', begin, 'd', 1L), named_struct('s', p + 1, 'd', -1L))")).alias("e")).select(*group, "e.*").groupBy(*group, "s").agg(F.sum("d").alias("d"))
+    counts = steps.withColumn("common", F.sum("d").over(Window.partitionBy(*group).orderBy("s").rowsBetween(Window.unboundedPreceding, 0)))
+    best = counts.groupBy(*group).agg(F.max(F.struct("common", (-F.col("s")).alias("back"))).alias("m_")).filter(F.col("m_.common") >= F.lit(containment) * F.col("of"))
+    return best.select(F.col("id").alias(id_col), "license", F.round(F.col("m_.common") / F.col("of"), 6).alias("containment"), (-F.col("m_.back")).alias("first_word"), "n_words")
 
 
 def _oracle() -> str:
-    rows = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in TEMPLATES.items())
+    quoted = [(k, v.replace("'", "''")) for k, v in TEMPLATES.items()]
+    rows = ", ".join(f"('{k}', '{v}')" for k, v in quoted)
     words = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
     return f"""
 WITH t AS (SELECT license, {words} AS w FROM (VALUES {rows}) v(license, text)),
@@ -104,7 +118,8 @@ size AS (SELECT license, n, count(*) AS m FROM ts GROUP BY ALL),
 d AS (SELECT doc_id, {words} AS w FROM documents),
 ds AS (SELECT doc_id, i, len(w) AS total, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 4)) AS i FROM d WHERE len(w) > 4)),
 hit AS (SELECT doc_id, i, total, license, n, s FROM ds JOIN ts USING (s)),
-win AS (SELECT doc_id, license, n, st, count(DISTINCT s) AS common FROM (SELECT *, unnest(generate_series(greatest(i - n + 5, 1), i)) AS st FROM hit) GROUP BY ALL),
+enough AS (SELECT doc_id, license FROM hit JOIN size USING (license) GROUP BY doc_id, license HAVING count(DISTINCT s) >= 0.8 * any_value(m)),
+win AS (SELECT doc_id, license, n, st, count(DISTINCT s) AS common FROM (SELECT *, unnest(generate_series(greatest(i - n + 5, 1), i)) AS st FROM hit SEMI JOIN enough USING (doc_id, license)) GROUP BY ALL),
 best AS (SELECT doc_id, license, win.n AS n, m, common, st, row_number() OVER (PARTITION BY doc_id, license ORDER BY common DESC, st) AS k
          FROM win JOIN size USING (license) WHERE common >= 0.8 * m)
 SELECT doc_id, license, round(common / m, 6) AS containment, CAST(st - 1 AS INTEGER) AS first_word, CAST(n AS INTEGER) AS n_words FROM best WHERE k = 1
