@@ -34,8 +34,13 @@ def _entropy(weights: list[float]) -> float:
 
 
 def fit_exponent(tokens: list[int], budget: int, entropy_share: float, max_repeats: float) -> float:
-    """The exponent for sources of so many tokens; entropy_share is of the greatest entropy."""
+    """The exponent for sources of so many tokens; entropy_share is of the greatest entropy.
+
+    Sources repeat least in their own shares; a budget that repeats them beyond the limit even then is an error.
+    """
     total = sum(tokens)
+    if budget > max_repeats * total:
+        raise ValueError(f"a budget of {budget} repeats {total} tokens more than {max_repeats} times in any mix")
     shares = [t / total for t in tokens]
     target = entropy_share * math.log(len(tokens))
 
@@ -68,16 +73,44 @@ def mix(
     """One row for each time a document is used: id, source, epoch, block, place, tokens.
 
     tokens: words between ASCII white space, and one for the document's end, so that an
-    empty or null text has one. budget: the corpus's tokens unless given; a source with
+    empty or null text has one (what a vocabulary file makes of it is not for SQL functions). budget: the corpus's tokens unless given; a source with
     quota q and t tokens is used q div t times, and then as many documents of one more
-    pass as fit into the rest. Orders are by MD5 of seed, epoch and id. block: which of
+    pass as fit into the rest. Orders are by MD5 of seed, epoch and id, and of the text's
+    hash and a number where rows share an id or have none. block: which of
     the budget's parts of block_tokens; place: the order in the block, from 1. Null
-    sources are one source, the empty string. Repeated rows are documents of their own; where
-    ids tie, which one comes first is open, and their rows are alike. An empty table gives
-    an empty result; extra columns are not read.
+    sources are one source, the empty string. Repeated rows are documents of their own,
+    each with its draws. An empty table gives an empty result; extra columns are not read.
+    A budget that no mix can meet within max_repeats is an error.
     """
+    return _mixed(docs, budget, entropy_share, max_repeats, block_tokens, seed, id_col, text_col, source_col).select(F.col("id").alias(id_col), F.col("source").alias(source_col), "epoch", "block", "place", "tokens")
+
+
+#: Rows that one task makes of a repeated row.
+NUMBERED = 100_000
+
+
+def _drawn(items: DataFrame) -> DataFrame:
+    """items with `of`, what a row's draws are made of: its id, or for shared and null ids the id, the text's hash and a number."""
+    own = F.coalesce(F.col("id").cast("string"), F.lit(""))
+    shared = materialize(items.groupBy("id").agg(F.count(F.lit(1)).alias("rows")).filter("id IS NULL OR rows > 1").select(F.col("id").alias("s_id")), "shared")
+    if not shared.limit(1).count():
+        return items.withColumn("of", own)
+    same = F.col("id").eqNullSafe(F.col("s_id"))
+    # Alike rows are counted, not collected; what comes of one is numbered in parts by several tasks.
+    counted = items.join(shared, same, "left_semi").groupBy("id", "key", "source", "tokens").agg(F.count(F.lit(1)).alias("rows"))
+    parts = counted.withColumn("part", F.explode(F.expr(f"sequence(0L, (rows - 1) div {NUMBERED})"))).repartition("id", "key", "part")
+    numbered = parts.withColumn("number", F.explode(F.expr(f"sequence(part * {NUMBERED}L + 1, least((part + 1) * {NUMBERED}L, rows))")))
+    several = numbered.select("id", "key", "source", "tokens", F.concat_ws(":", own, "key", "number").alias("of"))
+    return materialize(items.join(shared, same, "left_anti").withColumn("of", own).union(several), "items")
+
+
+def _mixed(docs: DataFrame, budget: int | None, entropy_share: float, max_repeats: float, block_tokens: int, seed: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """mix() with the text's xxhash64, key."""
     items = materialize(
-        docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(source_col), F.lit("")).alias("source"), (F.size(words_of(F.col(text_col), WHITE)) + 1).cast("long").alias("tokens")), "items"
+        docs.select(
+            F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("key"), F.coalesce(F.col(source_col), F.lit("")).alias("source"), (F.size(words_of(F.col(text_col), WHITE)) + 1).cast("long").alias("tokens")
+        ),
+        "items",
     )
     sources = sorted(tuple(r) for r in items.groupBy("source").agg(F.sum("tokens")).limit(MAX_SOURCES + 1).collect())
     if len(sources) > MAX_SOURCES:
@@ -93,9 +126,9 @@ def mix(
     blocks = max(1, -(-budget // block_tokens))
 
     used = (
-        items.join(F.broadcast(quotas), "source")  # MAX_SOURCES rows at most
+        _drawn(items).join(F.broadcast(quotas), "source")  # MAX_SOURCES rows at most
         .withColumn("epoch", F.explode(F.expr("sequence(0L, quota div t)")))
-        .withColumn("draw", F.md5(F.concat_ws(":", F.lit(seed), F.col("epoch"), F.coalesce(F.col("id").cast("string"), F.lit("")))))
+        .withColumn("draw", F.md5(F.concat_ws(":", F.lit(seed), F.col("epoch"), F.col("of"))))
         .withColumn("part", F.expr(f"CAST(conv(substr(draw, 1, 8), 16, 10) AS BIGINT) * least({MOST_PARTS}L, t div {PART_TOKENS}L + 1) div 4294967296L"))
     )
     # The order of a pass is by draw, and parts are ranges of draws: sums of the parts
@@ -105,15 +138,28 @@ def mix(
         "source", "epoch", "part", (F.sum("part_tokens").over(Window.partitionBy("source", "epoch").orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("part_tokens")).alias("ahead")
     )
     needed = used.join(before, ["source", "epoch", "part"]).filter("epoch * t + ahead < quota")
-    inside = Window.partitionBy("source", "epoch", "part").orderBy("draw", "id").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("source", "epoch", "part").orderBy("draw", "of").rowsBetween(Window.unboundedPreceding, 0)
     placed = (
         needed.withColumn("upto", F.col("epoch") * F.col("t") + F.col("ahead") + F.sum("tokens").over(inside))
         .filter("upto <= quota")
         .withColumn("block", F.expr(f"CAST(least({blocks} - 1, floor(CAST(upto - tokens AS DOUBLE) / quota * {blocks})) AS BIGINT)"))
     )
-    return placed.select(
-        F.col("id").alias(id_col), F.col("source").alias(source_col), "epoch", "block", F.row_number().over(Window.partitionBy("block").orderBy("draw", "source", "id")).cast("long").alias("place"), "tokens"
-    )
+    return placed.withColumn("place", F.row_number().over(Window.partitionBy("block").orderBy("draw", "source", "of")).cast("long")).select("id", "key", "source", "epoch", "block", "place", "tokens")
+
+
+def mix_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", extra: tuple[str, ...] = ("lang",)) -> DataFrame:
+    """mix() with the texts and the extra columns of the documents used: id, text, *extra, source, epoch, block, place, tokens.
+
+    Each use has the text of its own row, whatever other rows have its id. Rows alike in id
+    and text count as often as they are there; their extra columns are those of one of them.
+    """
+    mixed = _mixed(docs, None, 0.95, 4.0, 100_000, 1, id_col, text_col, source_col).withColumnsRenamed({"id": "u_id", "key": "u_key", "source": "u_source"})
+    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("key"), F.col(text_col).alias("text"), *extra)
+    ids = docs.groupBy(id_col, F.xxhash64(F.col(text_col)).alias("key")).count()
+    if ids.filter("count > 1").limit(1).count():
+        texts = texts.dropDuplicates(["id", "key"])
+    joined = mixed.join(texts, F.col("u_id").eqNullSafe(F.col("id")) & (F.col("u_key") == F.col("key")))
+    return joined.select(F.col("id").alias(id_col), F.col("text").alias(text_col), *extra, F.col("u_source").alias(source_col), "epoch", "block", "place", "tokens")
 
 
 ORACLE_SQL = r"""
