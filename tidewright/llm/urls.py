@@ -1,8 +1,8 @@
 """URL filters (operator 7): a path-template tree, in DataFrame functions alone.
 
-Listed rules come first. For the rest, every host has a tree of path templates: digits in a
-segment become a wildcard, and so does a segment where a place has many different
-ones. Sibling branches whose labelled rows look alike are merged, and the templates that
+Listed rules come first. For the rest, every host has a tree of path templates: numbers in a
+segment become a wildcard where they vary (page numbers do, a few versions or years don't),
+and so does a segment where a place has many different ones. Sibling branches whose labelled rows look alike are merged, and the templates that
 are left are rejected by the share of bad labels, smoothed towards their host's.
 """
 
@@ -16,9 +16,10 @@ from tidewright.llm.common import LOWER, UPPER, ascii_lower, materialize
 #: (verdict, host and path): a rule holds for its host and all subdomains, where the
 #: url's path starts with the rule's; the longest rule wins.
 RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
-#: Segments up to which the oracle's SQL follows a path; judge() follows all of them.
+#: Segments up to which the oracle's SQL, a chain of queries, can follow a path; judge() follows all of them.
 DEPTH = 4
-#: A place with so many different segments, one in so many rows at least, is variable.
+#: A place with so many different segments, one in so many rows at least, is variable; so are
+#: numbers at one place of alike paths if there is one in so many rows.
 MANY, SPREAD = 12, 4
 #: Standard errors within which a branch is like its siblings.
 ALIKE = 2.0
@@ -64,6 +65,18 @@ def _generalised(paths: DataFrame, deepest: int) -> DataFrame:
     return out.withColumnRenamed("done", "template")
 
 
+def _shaped(own: DataFrame) -> DataFrame:
+    """own(host, path, ...) with `shape`, the path's segments, their numbers as # where those vary on paths that are alike otherwise."""
+    parts = "filter(split({}, '/'), s -> s <> '')"
+    own = own.withColumn("shape", F.expr(parts.format("regexp_replace(path, '[0-9]+', '#')"))).withColumn("raw", F.expr(parts.format("path")))
+    numbers = own.select("host", "shape", F.explode(F.expr("filter(transform(raw, (r, i) -> named_struct('d', i, 'part', r)), x -> x.part RLIKE '[0-9]')")).alias("x")).select("host", "shape", "x.*")
+    kinds = numbers.groupBy("host", "shape", "d", "part").agg(F.count(F.lit(1)).alias("n")).groupBy("host", "shape", "d").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("n"))
+    few = kinds.filter(F.col("kinds") * SPREAD < F.col("n")).groupBy("host", "shape").agg(F.collect_set("d").alias("few"))  # of one path
+    few = materialize(few.withColumnsRenamed({"host": "f_host", "shape": "f_shape"}), "numbers")
+    joined = own.join(few, (F.col("host") == F.col("f_host")) & (F.col("shape") == F.col("f_shape")), "left")
+    return joined.withColumn("shape", F.expr("IF(few IS NULL, shape, transform(shape, (s, i) -> IF(array_contains(few, i), raw[i], s)))")).drop("few", "f_host", "f_shape", "raw")
+
+
 def _merged(templates: DataFrame, deepest: int) -> DataFrame:
     """(host, template, branch): branch is the template after like siblings are merged, leaves first."""
     leaves = _sums(templates, "host", "template").withColumn("branch", F.col("template"))
@@ -96,9 +109,7 @@ def judge(pages: DataFrame, labelled: DataFrame, rules: list[tuple[str, str]] |
     host, path = parse(F.col(url_col))
     rule, verdict = matched(F.col("host"), F.col("path"), RULES if rules is None else rules)
     base = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path")).withColumns({"rule": rule, "said": verdict})
-    shape = F.expr(f"filter(split(regexp_replace(path, '[0-9]+', '#'), '/'), s -> s <> '')")
-    own = base.withColumn("shape", shape)
-    own = materialize(own.withColumn("key", F.regexp_extract("path", "([0-9]+)[^0-9]*$", 1)), "pages")
+    own = materialize(_shaped(base).withColumn("key", F.regexp_extract("path", "([0-9]+)[^0-9]*$", 1)), "pages")
 
     marks = labelled.select(F.col("path_key").alias("key"), "bad").filter("key IS NOT NULL AND key <> '' AND bad IS NOT NULL").groupBy("key").agg(F.max("bad").alias("bad"))
     keyed = own.filter("key <> ''").groupBy("host", "shape", "key").agg(F.count(F.lit(1)).alias("n")).join(marks, "key")
@@ -140,8 +151,10 @@ def _oracle() -> str:
         "u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages)",
         "h AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM u)",
         f"b AS (SELECT page_id, translate(raw, '{UPPER}', '{LOWER}') AS host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM h)",
-        f"p0 AS (SELECT *, {case(lambda says, t: t)} AS rule, {case(lambda says, t: says)} AS said, regexp_extract(path, '([0-9]+)[^0-9]*$', 1) AS key, list_filter(string_split(regexp_replace(path, '[0-9]+', '#', 'g'), '/'), lambda s: s <> '') AS segs FROM b)",
-        f"p AS (SELECT * EXCLUDE (segs), CASE WHEN len(segs) > {DEPTH} THEN list_append(segs[1:{DEPTH}], '**') ELSE segs END AS shape FROM p0)",
+        f"p0 AS (SELECT *, {case(lambda says, t: t)} AS rule, {case(lambda says, t: says)} AS said, regexp_extract(path, '([0-9]+)[^0-9]*$', 1) AS key, list_filter(string_split(regexp_replace(path, '[0-9]+', '#', 'g'), '/'), lambda s: s <> '') AS segs, list_filter(string_split(path, '/'), lambda s: s <> '') AS raw FROM b)",
+        "x AS (SELECT host, segs, d, raw[d] AS part, count(*) AS n FROM (SELECT host, segs, raw, unnest(generate_series(1, len(raw))) AS d FROM p0) WHERE regexp_matches(raw[d], '[0-9]') GROUP BY ALL)",
+        f"few AS (SELECT host, segs, list(d) AS few FROM (SELECT host, segs, d FROM x GROUP BY host, segs, d HAVING count(*) * {SPREAD} < sum(n)) GROUP BY host, segs)",
+        "p AS (SELECT p0.* EXCLUDE (segs, raw), CASE WHEN few IS NULL THEN segs ELSE list_transform(segs, lambda s, i: CASE WHEN list_contains(few, i) THEN raw[i] ELSE s END) END AS shape FROM p0 LEFT JOIN few USING (host, segs))",
         "m AS (SELECT CAST(doc_id AS VARCHAR) AS key, max(CASE WHEN quality = 0 THEN 1 ELSE 0 END) AS bad FROM labels WHERE quality IS NOT NULL GROUP BY 1)",
         "g0 AS (SELECT host, shape, count(*) AS n, count(m.key) AS labelled, coalesce(sum(m.bad), 0) AS bad, []::VARCHAR[] AS done FROM p LEFT JOIN m ON p.key = m.key AND p.key <> '' GROUP BY host, shape)",
     ]
