@@ -36,7 +36,8 @@ def scratch_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
     It is the one the cluster names in spark.checkpoint.dir. Where that is unset, a
-    local session gets a temporary folder and any other one a folder in the warehouse.
+    local session gets a temporary folder and any other one a folder in the warehouse,
+    which must not be on the machines' own disks then.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -45,6 +46,8 @@ def scratch_dir(spark: SparkSession) -> str:
         named = "file://" + tempfile.mkdtemp(prefix="tidewright-")
     else:
         named = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+        if ":" not in named or named.startswith("file:"):
+            raise ValueError("set spark.checkpoint.dir: the warehouse is on a local disk, which executors do not share")
     spark.conf.set("spark.checkpoint.dir", named)
     return named
 

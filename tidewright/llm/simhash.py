@@ -22,6 +22,8 @@ from tidewright.llm.components import components
 BITS = 64
 #: Shingle hashes whose bits are spread out at once.
 SPREAD = 1 << 18
+#: Fingerprints whose balls one task makes.
+BALLS = 20_000
 
 
 def _fingerprint(text: str | None, shingle: int, seed: int) -> int:
@@ -70,7 +72,7 @@ def links(fps: DataFrame) -> DataFrame:
     The members of a variant's ball are all within 2 of one another, so linking its
     least member to the others loses no connection and emits no pairs beyond those.
     """
-    ball = fps.select("fp", F.explode(F.sequence(F.lit(-1), F.lit(BITS - 1))).alias("bit")).select(
+    ball = fps.repartition(max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-fps.count() // BALLS)), "fp").select("fp", F.explode(F.sequence(F.lit(-1), F.lit(BITS - 1))).alias("bit")).select(
         F.expr("IF(bit < 0, fp, fp ^ shiftleft(1L, bit))").alias("variant"), F.expr("IF(bit < 0, 0L, shiftleft(1L, bit))").alias("flipped"), (F.col("bit") < 0).alias("own")
     )
     met = (
@@ -115,7 +117,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, seed: int = 42, id_col: s
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of docs for each component, a row with its least id; columns as they were.
 
-    Each row goes by its own fingerprint's component, whatever other rows have its id. Nulls are the greatest ids.
+    Each row goes by its own fingerprint's component, whatever other rows have its id. Null
+    ids are the greatest ones, and of rows with one id the least fingerprint and text hash
+    stay. Of rows alike in id and text one stays. Null, empty and blank texts have the same
+    fingerprint and are one component. An empty table gives an empty result; no column of
+    docs is read but the two named.
     """
     own, distinct, roots = _linked(docs, 3, 42, id_col, text_col)
     of_fp = distinct.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "row")
