@@ -20,18 +20,30 @@ WINDOW, GRAM = 13, 5
 BROADCAST_ROWS = 1_000_000
 
 
+#: Bits of a winnowing value that hold the place; the others are of the hash. No text has more words.
+PLACE_BITS = 28
+
+
+def _hashed(text: Column, separators: str) -> Column:
+    """A hash of each word."""
+    return F.transform(words_of(text, separators), lambda w: F.xxhash64(w))
+
+
 def _grams(words: str, k: int) -> Column:
-    """Hashes of all k consecutive words."""
+    """Hashes of all k consecutive words, from the words' hashes."""
     parts = ", ".join(f"{words}[i + {j}]" for j in range(k))
     return F.expr(f"IF(size({words}) < {k}, CAST(array() AS ARRAY<BIGINT>), transform(sequence(0, size({words}) - {k}), i -> xxhash64({parts})))")
 
 
-def _kept(grams: str, w: int) -> Column:
-    """Places of the least hash, the first of equal ones, of every w consecutive grams."""
-    span = f"slice({grams}, i + 1, {w})"
-    return F.expr(
-        f"IF(size({grams}) < {w}, CAST(array() AS ARRAY<INT>), array_distinct(transform(sequence(0, size({grams}) - {w}), i -> i + CAST(array_position({span}, array_min({span})) AS INT) - 1)))"
-    )
+def _valued(grams: str) -> Column:
+    """What winnowing compares: the hash's first bits and the place after them, so that of equal ones the first is least."""
+    return F.expr(f"transform({grams}, (g, i) -> (g & {-(1 << PLACE_BITS)}L) | i)")
+
+
+def _kept(values: str, w: int) -> Column:
+    """Places of the least value of every w consecutive ones."""
+    least = f"least({', '.join(f'{values}[i + {j}]' for j in range(w))})" if w > 1 else f"{values}[i]"
+    return F.expr(f"IF(size({values}) < {w}, CAST(array() AS ARRAY<INT>), array_distinct(transform(sequence(0, size({values}) - {w}), i -> CAST({least} & {(1 << PLACE_BITS) - 1}L AS INT))))")
 
 
 def _places(n: int, k: int) -> list[int]:
@@ -64,14 +76,14 @@ def contamination(
 
 def _contamination(docs: DataFrame, benchmark: DataFrame, window: int, id_col: str, text_col: str, item_col: str, item_text_col: str) -> DataFrame:
     """The same rows with id and key, the text's xxhash64."""
-    items = materialize(benchmark.select(F.col(item_col).alias("item"), words_of(ascii_lower(F.col(item_text_col)), NOT_ALNUM).alias("words")).filter("size(words) > 0"), "items")
+    items = materialize(benchmark.select(F.col(item_col).alias("item"), _hashed(ascii_lower(F.col(item_text_col)), NOT_ALNUM).alias("words")), "words").filter("size(words) > 0")
     lengths = [r[0] for r in items.select(F.least(F.size("words"), F.lit(window)).alias("n")).distinct().collect()]  # `window` values at most
     shortest = min(lengths, default=window)
     k = min(GRAM, shortest)
     w, reach = shortest - k + 1, window - k
 
     item_grams = items.select("item", F.size("words").alias("size"), _grams("words", k).alias("grams"))
-    known = materialize(item_grams.select(F.explode(_kept("grams", w)).alias("p"), "grams").select(F.expr("grams[p]").alias("hash")).distinct(), "known")
+    known = materialize(item_grams.select("grams", _valued("grams").alias("valued")).select(F.explode(_kept("valued", w)).alias("p"), "grams").select(F.expr("grams[p]").alias("hash")).distinct(), "known")
     of_items = [
         item_grams.filter(F.col("size") >= window if n == window else F.col("size") == n).select("item", F.explode(F.expr(_windows("grams", f"sequence(0, size - {n})", "0", n, k))).alias("x"))
         for n in lengths
@@ -85,10 +97,10 @@ def _contamination(docs: DataFrame, benchmark: DataFrame, window: int, id_col: s
         return _result(counted.withColumns({"n_hit": F.lit(0).cast("long"), "items": F.array().cast("array<string>")}))
     windows = materialize(windows.select("item", "x.n", "x.signature").distinct(), "windows")
 
-    grams = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("key"), words_of(ascii_lower(F.col(text_col)), NOT_ALNUM).alias("words")).select(
+    grams = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("key"), _hashed(ascii_lower(F.col(text_col)), NOT_ALNUM).alias("words")).select(
         "id", "key", _grams("words", k).alias("grams")
     )
-    around = grams.select("id", "key", "grams", _kept("grams", w).alias("kept")).select(
+    around = grams.select("id", "key", "grams", _valued("grams").alias("valued")).select("id", "key", "grams", _kept("valued", w).alias("kept")).select(
         "id",
         "key",
         F.explode(
