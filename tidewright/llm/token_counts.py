@@ -6,6 +6,9 @@ position alone, so when the scans of two overlapping chunks both start a piece a
 same place, far enough from the left chunk's end and the right chunk's start, they agree
 from there on. Chunks are spliced at such a place; when an overlap has none, it is
 doubled, and in the end the two chunks are encoded as one.
+
+That is proven for byte-level vocabularies with their own pattern, no normaliser and added
+tokens that are plain strings. Texts of other vocabularies are encoded whole by their library.
 """
 
 from __future__ import annotations
@@ -21,8 +24,8 @@ from pyspark.sql import functions as F
 
 #: Fixed value: the byte-level BPE pattern of the vocabulary files.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Characters whose classes are the same in every Unicode version in use. Texts with
-#: others are encoded whole by the library.
+#: Characters whose classes are the same in every Unicode version in use. Chunks with
+#: others get their pieces from the library, whose tables may be older or newer.
 SETTLED = "[\t\n\r -~¡-ȳΆ-ώЀ-ҁ‐-‧‰-›€一-龥]*"
 #: Pieces whose counts a worker remembers at once.
 REMEMBERED = 1_000_000
@@ -48,6 +51,7 @@ class Counter:
         spec["truncation"] = spec["padding"] = None
         library = Tokenizer.from_str(json.dumps(spec))
         self._whole = lambda text: len(library.encode(text, add_special_tokens=False).ids)
+        self._cut = library.pre_tokenizer.pre_tokenize_str if spec.get("pre_tokenizer") else None
         first, added = spec.get("pre_tokenizer") or {}, spec.get("added_tokens") or []
         self._by_piece = (
             first.get("type") == "ByteLevel" and first.get("use_regex", True) and not first.get("add_prefix_space") and not spec.get("normalizer") and not any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in added)
@@ -70,14 +74,19 @@ class Counter:
                     memo[p] = self._whole(p)
             return [memo[p] for p in pieces]
 
+    def _pieces(self, text: str) -> list[str]:
+        if self._settled.fullmatch(text):
+            return self._plain.findall(text)
+        return [text[a:b] for _, (a, b) in self._cut(text)]
+
     def _encode(self, text: str) -> tuple[list[str], list[int]]:
         """The pieces of a chunk and how many tokens each has; a special string is one."""
         if self._special is None or not self._special.search(text):
-            pieces = self._plain.findall(text)
+            pieces = self._pieces(text)
             return pieces, self._of(pieces)
         pieces, counts = [], []
         for k, part in enumerate(self._special.split(text)):
-            own = [part] if k % 2 else self._plain.findall(part)
+            own = [part] if k % 2 else self._pieces(part)
             pieces += own
             counts += [1] if k % 2 else self._of(own)
         return pieces, counts
@@ -114,9 +123,11 @@ class Counter:
     def count(self, text: str | None) -> int:
         if not text:
             return 0
-        if not self._by_piece or not self._settled.fullmatch(text):
+        if not self._by_piece:
             return self._whole(text)
-        return sum(self._encode(text)[1]) if len(text) <= self.chunk_chars else self._spliced(text)
+        if len(text) > self.chunk_chars:
+            return self._spliced(text)
+        return sum(self._encode(text)[1]) if self._settled.fullmatch(text) else self._whole(text)
 
 
 def count_tokens(
@@ -125,8 +136,9 @@ def count_tokens(
     """One row a document: its id, n_bytes (UTF-8), n_tokens and over_limit (n_tokens > limit).
 
     Null and empty texts have no bytes and no tokens. Repeated rows and null ids give a
-    row each; other columns are not read, and an empty table gives an empty result. The
-    vocabulary file must be at the same path on every executor.
+    row each; other columns are not read, and an empty table gives an empty result. Texts
+    of more than chunk_chars characters are counted in chunks; so the memory a text takes
+    beside itself is a chunk's, unless its pieces are longer. The vocabulary file must be at the same path on every executor.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
