@@ -28,10 +28,26 @@ TREES, ROWS, BINS = 128, 256, 1000
 LOSS = 0.002
 
 
+#: Words from which on repeats are counted by sorted numbers, which take less memory than a table of windows.
+LONG = 20_000
+
+
+def _repeat_words_sorted(words: list[bytes]) -> int:
+    """_repeat_words of a long text, in a few numbers a word."""
+    number: dict[bytes, int] = {}
+    w = np.fromiter((number.setdefault(x, len(number)) for x in words), np.int64, len(words))
+    _, pair = np.unique(w[:-1] * len(number) + w[1:], return_inverse=True)
+    _, window, n = np.unique(pair[:-1] * len(number) + w[2:], return_inverse=True, return_counts=True)
+    first = np.concatenate([n[window] > 1, [False, False]])
+    return int((first | np.roll(first, 1) | np.roll(first, 2)).sum())
+
+
 def _repeat_words(words: list[bytes]) -> int:
     """Words inside three-word windows that the text has twice or more."""
     if len(words) < 4:
         return 0
+    if len(words) >= LONG:
+        return _repeat_words_sorted(words)
     windows = list(zip(words, words[1:], words[2:], strict=False))
     seen = Counter(windows)
     if len(seen) == len(windows):
@@ -206,6 +222,7 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def keep(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that judge() keeps, with their columns as they were.
 
+    Null, empty and short texts go; repeated rows stay or go together, whatever their ids.
     The verdict is made again beside each text: statistics are cheaper than moving texts to join them.
     """
     _, forest, at = _fitted(docs, labels, id_col, text_col, TREES, ROWS, LOSS)
