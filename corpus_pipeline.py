@@ -9,36 +9,52 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tidewright.llm import decontaminate, mixing, quality, simhash, substring
 from tidewright.llm.common import materialize, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep.
+
+    Null, empty and short texts go. A row goes by its own text: rows alike stay or go
+    together, null ids are like others. Columns, extra ones too, are as they were.
+    """
     return quality.keep(docs, table(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the least id."""
+    """One document of each group of near copies: the one with the least id, nulls being the greatest.
+
+    A row goes by its own text, whatever other rows have its id; of rows alike in id and text one stays.
+    """
     return simhash.keep_one(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the passages that stand in an earlier one."""
+    """All documents, without the passages that stand in an earlier one; n_chars is the new length.
+
+    A row loses what its own text repeats, whatever other rows have its id; rows alike in id
+    and text are one document and lose the same. A row may be left with an empty text. Null texts are as they were.
+    """
     return substring.remove_repeats(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not contaminated by the benchmark."""
+    """Documents that are not contaminated by the benchmark.
+
+    A row goes by its own text, whatever other rows have its id. Null and empty texts are
+    clean, and so is all when the benchmark is empty.
+    """
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The training mix: a row for each use of a document, with its block, place and text."""
-    mixed = mixing.mix(docs).withColumnRenamed("doc_id", "used_id")
-    return mixed.join(docs.select("doc_id", "text", "lang"), F.col("used_id").eqNullSafe(F.col("doc_id"))).select("doc_id", "text", "lang", "source", "epoch", "block", "place", "tokens")
+    """The training mix: a row for each use of a document, with its block, place and text.
+
+    Repeated rows are used as often as they are there; rows with one id or none each have their own text.
+    """
+    return mixing.mix_texts(docs)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
