@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from tidewright.llm import chat, decontaminate, licenses, mixing, quality, simhash, substring, token_counts, toxicity, urls
 from tidewright.llm.common import table
 
@@ -68,7 +67,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_mixing": op9_mixing,
     "op10_token_counts": op10_token_counts,
-    "pipeline": corpus_pipeline.run,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_license_scans": licenses.ORACLE_SQL,
