@@ -364,12 +364,36 @@ _aggregate("max", "max(i.l_quantity)", "<=", 20)
 
 
 @query("""WITH a AS (SELECT l_orderkey, count(*) AS v FROM lineitem WHERE l_quantity > 20 GROUP BY 1), b AS (SELECT l_orderkey, count(*) AS v FROM lineitem WHERE l_quantity > 30 GROUP BY 1)
-SELECT o_orderkey AS l_orderkey, coalesce(b.v, 0) AS value, coalesce(b.v, 0) >= 2 AS truth, CAST(CASE WHEN coalesce(a.v, 0) = coalesce(b.v, 0) THEN 1 ELSE 2 END AS BIGINT) AS lower_frontier
+SELECT o_orderkey AS l_orderkey, coalesce(b.v, 0) AS value, '>=' AS comparison, 2 AS threshold, coalesce(b.v, 0) >= 2 AS truth, CAST(CASE WHEN coalesce(a.v, 0) = coalesce(b.v, 0) AND o_orderkey % 3 <> 0 THEN 1 ELSE 2 END AS BIGINT) AS lower_frontier
 FROM orders LEFT JOIN a ON a.l_orderkey = o_orderkey LEFT JOIN b ON b.l_orderkey = o_orderkey""")
 def aggregate_evidence(spark, t):  # noqa: ANN001, ANN201
     groups, rule = t("orders").select(F.col("o_orderkey").alias("l_orderkey")), derive.Aggregate("lines", "count_star", None, ">=", 2)
     value = lambda where: derive.aggregate_truth(groups, t("lineitem").filter(where), ["l_orderkey"], rule)
-    return derive.evidence(value("l_quantity > 20").withColumn("lower_frontier", F.lit(1).cast("bigint")), value("l_quantity > 30"), ["l_orderkey"], 2)
+    prior = value("l_quantity > 20").withColumn("lower_frontier", F.lit(1).cast("bigint"))
+    # Every third order had another threshold, which its truth may not show.
+    prior = prior.withColumn("threshold", F.when(F.col("l_orderkey") % 3 == 0, 1).otherwise(F.col("threshold")))
+    return derive.evidence(prior, value("l_quantity > 30"), ["l_orderkey"], 2)
+
+
+@query("""WITH a AS (SELECT l_orderkey, count(*) AS v FROM lineitem WHERE l_quantity > 30 GROUP BY 1)
+SELECT o_orderkey AS l_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'MISSING_AGGREGATE_EVIDENCE' WHEN o_orderkey % 5 = 1 THEN 'EXTRA_AGGREGATE_EVIDENCE' WHEN o_orderkey % 5 = 2 THEN 'WRONG_AGGREGATE_EVIDENCE' ELSE 'INVALID_AGGREGATE_FRONTIER' END AS problem
+FROM orders WHERE o_orderkey % 5 < 4 UNION ALL SELECT o_orderkey, 'STALE_AGGREGATE_EVIDENCE' FROM orders JOIN a ON l_orderkey = o_orderkey WHERE o_orderkey % 5 = 4 AND v > 2""")
+def reconcile_codes(spark, t):  # noqa: ANN001, ANN201
+    """Evidence that is lost, left over, changed, of a pass to come, or older than what it says."""
+    groups, rule, k = t("orders").select(F.col("o_orderkey").alias("l_orderkey")), derive.Aggregate("lines", "count_star", None, ">=", 2), F.col("l_orderkey") % 5
+    now = derive.aggregate_truth(groups, t("lineitem").filter("l_quantity > 30"), ["l_orderkey"], rule)
+    expected = now.withColumn("lower_frontier", F.when(F.col("value") > 2, 2).otherwise(1).cast("bigint"))
+    stored = expected.withColumn("lower_frontier", F.when(k == 3, 9).when(k == 4, 1).otherwise(F.col("lower_frontier"))).withColumn("value", F.col("value") + F.when(k == 2, 1).otherwise(0))
+    return derive.evidence_problems(stored.filter(k != 0), expected.filter(k != 1), ["l_orderkey"], 2)
+
+
+@query("""SELECT c_custkey FROM customer JOIN (SELECT o_custkey, count(*) AS n FROM orders WHERE o_totalprice > 200000 GROUP BY 1) ON o_custkey = c_custkey WHERE c_acctbal >= 0 AND n >= 1""")
+def aggregate_derived(spark, t):  # noqa: ANN001, ANN201
+    """A threshold over a relation that the program itself derives: big is derived, busy counts it, calm takes debtors away."""
+    rules = (derive.Rule("big", "big", "large_orders"), derive.Rule("busy", "busy", "customers", aggregate=derive.Aggregate("big", "count_star", None, ">=", 1)), derive.Rule("owing", "owing", "debtors"), derive.Rule("calm", "calm", "customers", ("busy",), ("owing",)))
+    customers = t("customer").select("c_custkey", "c_acctbal")
+    large = t("orders").filter("o_totalprice > 200000").select(F.col("o_custkey").alias("c_custkey")).join(customers.select("c_custkey"), "c_custkey", "left_semi")
+    return derive.evaluate(derive.Program(rules, ("c_custkey",)), {"customers": customers.select("c_custkey"), "debtors": customers.filter("c_acctbal < 0").select("c_custkey"), "large_orders": large})["calm"]
 
 
 @query(f"SELECT 'eligible' AS rule, 'blocked' AS relation, c_custkey, 0 AS stratum FROM ({_REACHED}) WHERE c_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)")
@@ -480,7 +504,8 @@ def deadline_crossing(spark, t):  # noqa: ANN001, ANN201
     return temporal.crossing(_deadlines(t), "deadline", _DUE - 7 * DAY, _DUE)
 
 
-FRONTIERS = [START + d * DAY for d in range(4, 12)]
+#: Every day of the events table.
+FRONTIERS = [START + d * DAY for d in range(30)]
 
 
 def _inputs(t) -> DataFrame:  # noqa: ANN001
@@ -499,7 +524,7 @@ def _replayed(step: str, status: str, active: str, at: str) -> str:
         parts.append(f"i{n} AS (SELECT user_id, p.active AS was, p.since AS since, p.generation AS generation, coalesce(truth, false) AS truth, coalesce(recovered, false) AS recovered, deadline, {f}::BIGINT AS f FROM s{n - 1} p LEFT JOIN (SELECT * FROM g WHERE frontier = {f}) USING (user_id))")
         parts.append(f"j{n} AS (SELECT *, {at} AS upto FROM i{n})")
         parts.append(f"m{n} AS (SELECT *, coalesce({active}, false) AS now FROM j{n})")
-        parts.append(f"s{n} AS (SELECT user_id, f AS frontier, {status} AS status, now AS active, upto AS since, generation + CASE WHEN now AND NOT was THEN 1 ELSE 0 END AS generation, CASE WHEN now AND NOT was THEN 'ACTIVATE' WHEN was AND NOT now THEN 'DEACTIVATE' END AS event FROM m{n})")
+        parts.append(f"s{n} AS MATERIALIZED (SELECT user_id, f AS frontier, {status} AS status, now AS active, upto AS since, generation + CASE WHEN now AND NOT was THEN 1 ELSE 0 END AS generation, CASE WHEN now AND NOT was THEN 'ACTIVATE' WHEN was AND NOT now THEN 'DEACTIVATE' END AS event FROM m{n})")
     union = " UNION ALL ".join(f'SELECT user_id, frontier, status, active, since AS "at", generation, event FROM s{n}' for n in range(1, len(FRONTIERS) + 1))
     return f"WITH {', '.join(parts)} {union}"
 
@@ -514,7 +539,7 @@ def temporal_absence(spark, t):  # noqa: ANN001, ANN201
     return temporal.replay(_inputs(t), ["user_id"], "frontier", FRONTIERS, temporal.absence())
 
 
-@query(_replayed("cooldown", "CASE WHEN now THEN 'ACTIVE' WHEN upto > f THEN 'COOLDOWN' ELSE 'WAITING' END", "truth AND (was OR NOT coalesce(since > f, false))", f"CASE WHEN NOT truth AND was THEN f + {2 * DAY} ELSE since END"))
+@query(_replayed("cooldown", "CASE WHEN now THEN 'ACTIVE' WHEN upto IS NOT NULL THEN 'COOLDOWN' ELSE 'WAITING' END", "truth AND (was OR NOT coalesce(since > f, false))", f"CASE WHEN NOT truth AND was THEN f + {2 * DAY} WHEN NOT was AND since > f THEN since END"))
 def temporal_cooldown(spark, t):  # noqa: ANN001, ANN201
     return temporal.replay(_inputs(t), ["user_id"], "frontier", FRONTIERS, temporal.cooldown(2 * DAY))
 
@@ -656,11 +681,13 @@ def coverage_default(spark, t):  # noqa: ANN001, ANN201
 _WON = "SELECT candidate, count(*) AS {n} FROM ({o}) WHERE state = 'WINNER' GROUP BY candidate"
 
 
-@query(f"""SELECT candidate, coalesce(a, 0) AS "current", coalesce(b, 0) AS proposed, abs(coalesce(b, 0) - coalesce(a, 0)) AS shift,
-abs(coalesce(b, 0) - coalesce(a, 0)) > 40 OR CASE WHEN coalesce(a, 0) = 0 THEN coalesce(b, 0) > 0 ELSE abs(coalesce(b, 0) - coalesce(a, 0)) > coalesce(a, 0) * 0.25 END AS breach
-FROM ({_WON.format(n='a', o=_OUTCOME.format(c=_ALL))}) FULL JOIN ({_WON.format(n='b', o=_OUTCOME.format(c=_SOME))}) USING (candidate)""")
+@query(f"""SELECT candidate, "current", proposed, proposed - "current" AS delta,
+abs(proposed - "current") > 40 OR CASE WHEN "current" = 0 THEN proposed > 0 ELSE abs(proposed - "current") / "current" > 0.25 END AS breach
+FROM (SELECT candidate, coalesce(a, 0) AS "current", coalesce(b, 0) AS proposed
+FROM (SELECT s_suppkey AS candidate FROM supplier UNION SELECT candidate FROM ({_ALL}) UNION SELECT candidate FROM ({_SOME}))
+LEFT JOIN ({_WON.format(n='a', o=_OUTCOME.format(c=_ALL))}) USING (candidate) LEFT JOIN ({_WON.format(n='b', o=_OUTCOME.format(c=_SOME))}) USING (candidate))""")
 def winner_distribution(spark, t):  # noqa: ANN001, ANN201
-    return coverage.distribution(decisions.winners(_candidates(t)), decisions.winners(_candidates(t, _PART)), 40, 0.25)
+    return coverage.distribution(_candidates(t), _candidates(t, _PART), t("supplier").select(F.col("s_suppkey").alias("candidate")), 40, 0.25)
 
 
 @query(f"""SELECT code, findings, CASE WHEN findings > 0 THEN 'BLOCKED' ELSE 'PASS' END AS state FROM (
@@ -760,15 +787,19 @@ def provenance_bindings(spark, t):  # noqa: ANN001, ANN201
     return provenance.bindings(t("orders").select("o_orderkey", "o_custkey", "o_orderstatus"), ["o_orderkey"], "orders")
 
 
-@query("""WITH RECURSIVE i AS (SELECT p_partkey AS fact, p_partkey // 3 AS input FROM part WHERE p_partkey > 0 UNION SELECT 0, 1),
+@query("""WITH RECURSIVE i AS (SELECT p_partkey AS fact, p_partkey // 3 AS input FROM part WHERE p_partkey > 0 UNION SELECT 0, 1 UNION SELECT p_partkey, p_partkey // 2 FROM part WHERE p_partkey > 0),
 r AS (SELECT p_partkey AS root, p_partkey AS fact, 0 AS depth, [p_partkey] AS path, false AS cycle FROM part
-UNION ALL SELECT root, input, depth + 1, list_append(path, input), list_contains(path, input) FROM r JOIN i USING (fact) WHERE NOT cycle AND depth < 4)
-SELECT DISTINCT root, fact, CAST(depth AS BIGINT) AS depth, CASE WHEN cycle THEN 'CYCLE' WHEN fact NOT IN (SELECT fact FROM i) THEN 'GROUNDED' WHEN depth = 4 THEN 'TRUNCATED' ELSE 'DERIVED' END AS state FROM r""")
+UNION ALL SELECT root, input, depth + 1, list_append(path, input), list_contains(path, input) FROM r JOIN i USING (fact) WHERE NOT cycle AND depth < 5),
+g AS (SELECT root, fact, min(depth) AS depth, bool_or(cycle) AS cycle, max(depth) AS deepest FROM r GROUP BY root, fact),
+n AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY depth, fact) AS nth, count(*) OVER (PARTITION BY root) AS total_nodes FROM g)
+SELECT root, fact, CAST(depth AS BIGINT) AS depth, CASE WHEN cycle THEN 'CYCLE' WHEN fact NOT IN (SELECT fact FROM i) THEN 'GROUNDED' WHEN deepest >= 5 THEN 'TRUNCATED' ELSE 'DERIVED' END AS state,
+total_nodes, greatest(total_nodes - 8, 0) AS omitted_nodes FROM n WHERE nth <= 8""")
 def provenance_proof(spark, t):  # noqa: ANN001, ANN201
-    """Every part is derived from the part with a third of its number, and the first two from each other."""
+    """Every part is derived from those with a third and half of its number, and the first two from each other."""
     key = F.col("p_partkey")
-    inputs = t("part").select(key.alias("fact"), F.when(key > 0, F.expr("p_partkey div 3")).otherwise(1).cast("bigint").alias("input"))
-    return provenance.proof(t("part").select(key.alias("fact")), inputs, 5)
+    inputs = t("part").filter(key > 0).select(key.alias("fact"), F.explode(F.expr("array(p_partkey div 3, p_partkey div 2)")).alias("input"))
+    inputs = inputs.union(spark.range(1).select(F.lit(0).cast("bigint"), F.lit(1).cast("bigint")))
+    return provenance.proof(t("part").select(key.alias("fact")), inputs, 5, 8)
 
 
 # Retention and operations

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewright.operators.decisions import winners
+
 
 def uncovered(population: DataFrame, candidates: DataFrame) -> DataFrame:
     """Subjects of the population without a candidate."""
@@ -33,16 +35,22 @@ def missing_default(catalog: DataFrame) -> DataFrame:
     return catalog.agg(F.coalesce(F.count_if(F.col("required_default")), F.lit(0)).alias("defaults")).filter("defaults = 0").select(F.lit("MISSING_REQUIRED_DEFAULT").alias("code"))
 
 
-def distribution(current: DataFrame, proposed: DataFrame, absolute: int, relative: float) -> DataFrame:
-    """Winners by candidate now and as proposed, and whether the shift breaches a limit.
+def distribution(current: DataFrame, proposed: DataFrame, catalog: DataFrame, absolute: int, relative: float | None = None) -> DataFrame:
+    """Every candidate's winners now and as proposed, the signed delta, and whether it breaches a limit.
 
-    A candidate without winners now breaches the relative limit by having any.
+    current and proposed are candidate rows (subject, candidate, priority); candidates are
+    those of the catalog and of both. A delta beyond `absolute` either way is a breach, and
+    with a relative limit so is one beyond that share of the winners now, or any winner of
+    a candidate that has none now.
     """
-    count = lambda df, name: df.filter("state = 'WINNER'").groupBy("candidate").agg(F.count(F.lit(1)).alias(name))
-    both = count(current, "current").join(count(proposed, "proposed"), "candidate", "full_outer").na.fill(0, ["current", "proposed"])
-    shift: Column = F.abs(F.col("proposed") - F.col("current"))
-    beyond = F.when(F.col("current") == 0, F.col("proposed") > 0).otherwise(shift > F.col("current") * F.lit(relative))
-    return both.withColumn("shift", shift).withColumn("breach", (shift > absolute) | beyond)
+    won = lambda rows, sign: winners(rows).filter("state = 'WINNER'").select("candidate", F.lit(sign).alias("side"))
+    keys = catalog.select("candidate").union(current.select("candidate")).union(proposed.select("candidate")).distinct()
+    sides = won(current, "current").union(won(proposed, "proposed")).groupBy("candidate").agg(*(F.count_if(F.col("side") == n).alias(n) for n in ("current", "proposed")))
+    both = keys.join(sides, "candidate", "left").na.fill(0, ["current", "proposed"]).withColumn("delta", F.col("proposed") - F.col("current"))
+    beyond = F.abs("delta") > absolute
+    if relative is not None:
+        beyond = beyond | F.when(F.col("current") == 0, F.col("proposed") > 0).otherwise(F.abs("delta") / F.col("current") > relative)
+    return both.withColumn("breach", beyond)
 
 
 def report(findings: dict[str, DataFrame]) -> DataFrame:

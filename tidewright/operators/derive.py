@@ -8,17 +8,20 @@ relations of a program are ordered on the driver; facts never come there.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewright.sources.scratch import written
+
 #: Comparisons of an aggregate with its threshold; a null aggregate is never true.
 COMPARE = {"=": Column.__eq__, "<": Column.__lt__, "<=": Column.__le__, ">": Column.__gt__, ">=": Column.__ge__}
 
 
 @dataclass(frozen=True)
 class Aggregate:
-    """fn (count_star, count, sum, min or max) of a column of items against a threshold."""
+    """fn (count_star, count, sum, min or max) of a column of items, a source or a derived relation, against a threshold."""
 
     items: str
     fn: str
@@ -52,14 +55,14 @@ class Program:
                 if name not in self.relations:
                     raise ValueError(f"PROGRAM_GRAPH_OPEN: {name} is not derived here")
         order = {n: k for k, part in enumerate(self.components()) for n in part}
-        for r in self.rules:
-            for name in r.negatives:
-                if order[name] >= order[r.target]:
-                    raise ValueError(f"PROGRAM_NEGATIVE_CYCLE: {r.target} and {name}")
+        for a, b, kind in self.edges():
+            if kind != "POSITIVE" and order[a] >= order[b]:
+                raise ValueError(f"PROGRAM_{kind}_CYCLE: {b} and {a}")
 
     def edges(self) -> list[tuple[str, str, str]]:
         """(from, to, polarity) of every dependency."""
-        return sorted({(i, r.target, "POSITIVE") for r in self.rules for i in r.inputs} | {(n, r.target, "NEGATIVE") for r in self.rules for n in r.negatives})
+        made = {(i, r.target, "POSITIVE") for r in self.rules for i in r.inputs} | {(n, r.target, "NEGATIVE") for r in self.rules for n in r.negatives}
+        return sorted(made | {(r.aggregate.items, r.target, "AGGREGATE") for r in self.rules if r.aggregate and r.aggregate.items in self.relations})
 
     def _above(self) -> dict[str, set[str]]:
         """What each relation depends on, however far."""
@@ -76,11 +79,11 @@ class Program:
         return sorted(parts, key=lambda p: (len(above[p[0]] - set(p)), p))
 
     def strata(self) -> dict[str, int]:
-        """The most negative edges on a path to each relation."""
+        """The most negative and aggregate edges on a path to each relation."""
         level = dict.fromkeys(self.relations, 0)
         for _ in self.relations:
             for a, b, kind in self.edges():
-                level[b] = max(level[b], level[a] + (kind == "NEGATIVE"))
+                level[b] = max(level[b], level[a] + (kind != "POSITIVE"))
         return level
 
 
@@ -91,7 +94,8 @@ def aggregate_truth(groups: DataFrame, items: DataFrame, key: list[str], aggrega
     joined = groups.select(*key).distinct().join(items.groupBy(*key).agg(made.alias("value")), key, "left")
     if aggregate.fn.startswith("count"):
         joined = joined.na.fill(0, ["value"])
-    return joined.withColumn("truth", F.coalesce(COMPARE[aggregate.op](F.col("value"), F.lit(aggregate.threshold)), F.lit(False)))
+    said = joined.withColumns({"comparison": F.lit(aggregate.op), "threshold": F.lit(aggregate.threshold)})
+    return said.withColumn("truth", F.coalesce(COMPARE[aggregate.op](F.col("value"), F.col("threshold")), F.lit(False)))
 
 
 def _once(rule: Rule, facts: dict[str, DataFrame], sources: dict[str, DataFrame], key: list[str]) -> DataFrame:
@@ -102,15 +106,17 @@ def _once(rule: Rule, facts: dict[str, DataFrame], sources: dict[str, DataFrame]
     for name in rule.negatives:
         out = out.join(facts[name], key, "left_anti")
     if rule.aggregate:
-        out = out.join(aggregate_truth(out, sources[rule.aggregate.items], key, rule.aggregate).filter("truth"), key, "left_semi")
+        items = rule.aggregate.items
+        out = out.join(aggregate_truth(out, facts[items] if items in facts else sources[items], key, rule.aggregate).filter("truth"), key, "left_semi")
     return out.select(*key, F.lit(rule.name).alias("rule"))
 
 
-def evaluate(program: Program, sources: dict[str, DataFrame], finish=lambda df: df) -> dict[str, DataFrame]:  # noqa: ANN001
+def evaluate(program: Program, sources: dict[str, DataFrame], finish=written) -> dict[str, DataFrame]:  # noqa: ANN001
     """The facts of every relation: its keys. sources are keyed DataFrames by name.
 
     The least set is built up from nothing, so facts that only support one another never
-    appear. finish is applied to the facts of each component (a checkpoint, for long chains).
+    appear. finish is applied to the facts of each round of a recursive component, and of
+    other relations that more than one rule uses: without it their plans would nest and repeat.
     """
     key = list(program.key)
     none = next(iter(sources.values())).select(*key).filter("false")
@@ -126,9 +132,9 @@ def evaluate(program: Program, sources: dict[str, DataFrame], finish=lambda df:
                     if rule.target == name:
                         one = _once(rule, facts, sources, key).select(*key)
                         rows = one if rows is None else rows.union(one)
-                new[name] = rows.distinct()
+                used = sum(name in (*rule.inputs, *rule.negatives, rule.aggregate and rule.aggregate.items) for rule in program.rules)
+                new[name] = finish(rows.distinct()) if recursive or used > 1 else rows.distinct()
             facts |= new
-        facts |= {name: finish(facts[name]) for name in part}
     return facts
 
 
@@ -154,15 +160,59 @@ def invalid(stored: DataFrame, expected: DataFrame, key: list[str]) -> DataFrame
     return missing.unionByName(stored.join(expected, key, "left_anti").select(*key, F.lit("EXTRA").alias("problem")))
 
 
+#: What aggregate evidence says; a frontier stands as long as none of it changes.
+EVIDENCE = ("value", "comparison", "threshold")
+
+
 def evidence(prior: DataFrame, current: DataFrame, key: list[str], frontier: int) -> DataFrame:
-    """Aggregate evidence after a pass: value, truth, and the frontier since which they stand.
+    """Aggregate evidence after a pass: value, comparison, threshold, truth, and the frontier since which they stand.
+
+    prior has all of these, current all but the frontier. Groups that are gone lose their evidence.
+    """
+    old = prior.select(*key, F.struct(*EVIDENCE).alias("was"), "lower_frontier")
+    same = reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"was.{c}")) for c in EVIDENCE))
+    return current.join(old, key, "left").select(*key, *EVIDENCE, "truth", F.when(same, F.col("lower_frontier")).otherwise(F.lit(frontier).cast("bigint")).alias("lower_frontier"))
+
+
+def evidence_problems(stored: DataFrame, expected: DataFrame, key: list[str], frontier: int) -> DataFrame:
+    """How stored aggregate evidence differs from what a rebuild gives, one row for each key and problem.
 
-    prior has key, value, truth, lower_frontier; current key, value, truth. Groups that are
-    gone lose their evidence.
+    MISSING and EXTRA: only one side has the group. WRONG: another value, comparison,
+    threshold or truth. INVALID_FRONTIER: no frontier, or one beyond the last pass; STALE: an older
+    one than the rebuild's. Keys are unique on either side.
     """
-    old = prior.select(*key, F.col("value").alias("v0"), F.col("truth").alias("t0"), "lower_frontier")
-    same = F.col("value").eqNullSafe(F.col("v0")) & F.col("truth").eqNullSafe(F.col("t0"))
-    return current.join(old, key, "left").select(*key, "value", "truth", F.when(same, F.col("lower_frontier")).otherwise(F.lit(frontier).cast("bigint")).alias("lower_frontier"))
+    shown = (*EVIDENCE, "truth")
+    old = stored.select(*key, F.struct(*shown).alias("s"), F.col("lower_frontier").alias("f_s"), F.lit(True).alias("has_s"))
+    new = expected.select(*key, F.struct(*shown).alias("e"), F.col("lower_frontier").alias("f_e"), F.lit(True).alias("has_e"))
+    both = old.join(new, key, "full_outer")
+    here = F.col("has_s").isNotNull() & F.col("has_e").isNotNull()
+    differs = reduce(Column.__or__, (~F.col(f"s.{c}").eqNullSafe(F.col(f"e.{c}")) for c in shown))
+    invalid_at = F.col("f_s").isNull() | (F.col("f_s") > frontier)
+    codes = F.array(
+        F.when(F.col("has_s").isNull(), "MISSING_AGGREGATE_EVIDENCE"),
+        F.when(F.col("has_e").isNull(), "EXTRA_AGGREGATE_EVIDENCE"),
+        F.when(here & differs, "WRONG_AGGREGATE_EVIDENCE"),
+        F.when(here & invalid_at, "INVALID_AGGREGATE_FRONTIER"),
+        F.when(here & ~invalid_at & (F.col("f_s") < F.col("f_e")), "STALE_AGGREGATE_EVIDENCE"),
+    )
+    return both.select(*key, F.explode(F.filter(codes, lambda c: c.isNotNull())).alias("problem"))
+
+
+#: Result types of aggregates over columns of a type, as names of Spark types.
+_SUMS = {"smallint": "bigint", "int": "bigint", "bigint": "decimal(38,0)", "float": "float", "double": "double"}
+_ORDERED = ("smallint", "int", "bigint", "float", "double", "string", "date", "timestamp", "timestamp_ntz")
+
+
+def result_type(fn: str, kind: str | None) -> str:
+    """The type of an aggregate's exact value, or an error where the type has no such aggregate."""
+    if fn in ("count_star", "count"):
+        return "bigint"
+    decimal = bool(kind) and kind.startswith("decimal")
+    if fn == "sum" and (decimal or kind in _SUMS):
+        return kind if decimal else _SUMS[kind]
+    if fn in ("min", "max") and (decimal or kind in _ORDERED):
+        return kind
+    raise ValueError(f"AGGREGATE_TYPE_UNSUPPORTED: {fn} of {kind}")
 
 
 def negative_evidence(program: Program, facts: dict[str, DataFrame], sources: dict[str, DataFrame]) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-DEPTH = 32
+from tidewright.sources.scratch import written
+
+#: The most steps that a proof walks, and the facts that it gives unless asked for more.
+DEPTH, NODES = 32, 1_000
 
 
 def bindings(rows: DataFrame, keys: list[str], source: str) -> DataFrame:
@@ -15,26 +18,54 @@ def bindings(rows: DataFrame, keys: list[str], source: str) -> DataFrame:
     return rows.select(*keys, F.lit(source).alias("source"), F.explode(pairs).alias("b")).select(*keys, "source", "b.*")
 
 
-def proof(roots: DataFrame, inputs: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """The facts below each root: root, fact, depth, state.
+#: Times that facts which lie on no cycle are looked for; those that stay cost memory and change nothing.
+TRIMS = 3
+
+
+def _core(derived: DataFrame) -> DataFrame:
+    """(fact): facts that may lie on a cycle: those left when facts without inputs, or that nothing rests on, are taken away again and again."""
+    edges, left = derived, None
+    for _ in range(TRIMS):
+        on = edges.select("fact").distinct().join(edges.select(F.col("input").alias("fact")).distinct(), "fact")
+        edges = written(edges.join(on, "fact", "left_semi").join(on.withColumnRenamed("fact", "input"), "input", "left_semi").select("fact", "input"), "core")
+        if (n := edges.count()) == left or not n:
+            break
+        left = n
+    return edges.select("fact").distinct()
+
+
+def proof(roots: DataFrame, inputs: DataFrame, depth: int = DEPTH, nodes: int = NODES) -> DataFrame:
+    """The facts below each root, one row each: root, fact, depth, state, total_nodes, omitted_nodes.
+
+    inputs has fact and input (null: an authoritative source); depth is the least number
+    of steps from the root, whose own is 0, and at most `depth` steps are walked. CYCLE is
+    a fact that stands above itself, where that walk ends; GROUNDED ones have no input at all,
+    TRUNCATED ones are reached by a walk of the greatest depth, others are DERIVED. Of each
+    root the first `nodes` facts by depth and fact are given, and how many are left out.
 
-    inputs has fact and input (null: an authoritative source). A step joins the facts
-    just reached with their inputs; it ends when none is new. GROUNDED facts have no
-    derived input, DERIVED ones do, and CYCLE is a fact that stands above itself, where
-    its branch ends; TRUNCATED ones lie at the greatest depth.
+    A walk remembers only facts that may be on a cycle, so walks that differ in others are one.
     """
     if not 1 <= depth <= DEPTH:
         raise ValueError(f"depth is 1 to {DEPTH}")
-    derived = inputs.filter("input IS NOT NULL").select("fact", "input").distinct()
-    level = roots.select(F.col("fact").alias("root"), "fact", F.array("fact").alias("path"), F.lit(False).alias("cycle"))
-    out = None
-    for d in range(depth):
-        has = level.join(derived.select("fact").distinct().withColumn("more", F.lit(True)), "fact", "left")
-        state = F.when(F.col("cycle"), "CYCLE").when(F.col("more").isNull(), "GROUNDED").when(F.lit(d == depth - 1), "TRUNCATED").otherwise("DERIVED")
-        rows = has.select("root", "fact", F.lit(d).cast("bigint").alias("depth"), state.alias("state"))
-        out = rows if out is None else out.union(rows)
-        level = (
-            level.filter("NOT cycle").join(derived, "fact")
-            .select("root", F.col("input").alias("fact"), F.concat("path", F.array("input")).alias("path"), F.array_contains("path", F.col("input")).alias("cycle"))
-        )
-    return out.distinct()
+    derived = written(inputs.filter("input IS NOT NULL").select("fact", "input").distinct(), "inputs")
+    core = written(_core(derived).withColumn("on_core", F.lit(True)), "core")
+    onto = written(derived.join(core.withColumnRenamed("fact", "input"), "input", "left").select("fact", "input", F.coalesce("on_core", F.lit(False)).alias("on_core")), "inputs")
+    kind = derived.schema["fact"].dataType.simpleString()
+    level = roots.select(F.col("fact").alias("root"), "fact").distinct().join(core, "fact", "left")
+    level = level.select("root", "fact", F.when(F.col("on_core"), F.array("fact")).otherwise(F.expr(f"CAST(array() AS ARRAY<{kind}>)")).alias("path"), F.lit(False).alias("cycle"))
+    reached = None
+    for d in range(depth + 1):
+        level = written(level, "level")
+        rows = level.groupBy("root", "fact").agg(F.bool_or("cycle").alias("cycle")).withColumn("depth", F.lit(d).cast("bigint"))
+        reached = rows if reached is None else reached.union(rows)
+        if d == depth or level.filter("NOT cycle").limit(1).count() == 0:
+            break
+        step = level.filter("NOT cycle").join(onto, "fact")
+        path = F.when(F.col("on_core"), F.array_sort(F.array_union("path", F.array("input")))).otherwise(F.col("path"))
+        level = step.select("root", F.col("input").alias("fact"), path.alias("path"), F.array_contains("path", F.col("input")).alias("cycle")).distinct()
+    grouped = reached.groupBy("root", "fact").agg(F.min("depth").alias("depth"), F.bool_or("cycle").alias("cycle"), F.max("depth").alias("deepest"))
+    has = grouped.join(derived.select("fact").distinct().withColumn("more", F.lit(True)), "fact", "left")
+    state = F.when(F.col("cycle"), "CYCLE").when(F.col("more").isNull(), "GROUNDED").when(F.col("deepest") >= depth, "TRUNCATED").otherwise("DERIVED")
+    total = has.groupBy("root").agg(F.count(F.lit(1)).alias("total_nodes"))
+    first = has.withColumn("nth", F.row_number().over(Window.partitionBy("root").orderBy("depth", "fact"))).filter(F.col("nth") <= nodes)  # one proof
+    return first.join(total, "root").select("root", "fact", "depth", state.alias("state"), "total_nodes", F.greatest(F.col("total_nodes") - nodes, F.lit(0).cast("bigint")).alias("omitted_nodes"))

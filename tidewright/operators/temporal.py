@@ -63,14 +63,14 @@ def absence() -> Callable[[Column, Column, Column], Column]:
 
 
 def cooldown(micros: int) -> Callable[[Column, Column, Column], Column]:
-    """True again only after a pause since it last stopped; `at` is the pause's end."""
+    """True again only after a pause since it last stopped; `at` is the pause's end, null once it is over."""
 
     def step(prior: Column, given: Column, frontier: Column) -> Column:
         true, was = F.coalesce(given["truth"], F.lit(False)), F.coalesce(prior["active"], F.lit(False))
         blocked = F.coalesce(prior["at"] > frontier, F.lit(False))
         active = true & (was | ~blocked)
-        at = F.when(~true & was, frontier + micros).otherwise(prior["at"])
-        cooling = F.coalesce(at > frontier, F.lit(False))
+        at = F.when(~true & was, frontier + micros).when(blocked & ~was, prior["at"])
+        cooling = at.isNotNull()
         return _next(F.when(active, "ACTIVE").when(cooling, "COOLDOWN").otherwise("WAITING"), active, at, prior)
 
     return step
@@ -108,11 +108,13 @@ def replay(inputs: DataFrame, keys: list[str], frontier: str, frontiers: list[in
     """All passes over the listed frontiers: keys, frontier, status, active, at, generation, event.
 
     inputs has keys, the frontier at which they hold, truth and what the step needs; a
-    frontier without a row is false there. One grouping by key: its list has a row for
+    frontier without a row is false there, and of several rows the greatest values hold
+    (true before false). One grouping by key: its list has a row for
     each frontier at most. Keys have states from the first frontier on.
     """
     rest = [c for c in inputs.columns if c not in (*keys, frontier)]
-    listed = inputs.filter(F.col(frontier).isin(frontiers)).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(F.col(frontier), F.struct(*rest)))).alias("by"))
+    single = inputs.filter(F.col(frontier).isin(frontiers)).groupBy(*keys, frontier).agg(*(F.max(c).alias(c) for c in rest))
+    listed = single.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(F.col(frontier), F.struct(*rest)))).alias("by"))
     passes = F.array(*(F.lit(f).cast("bigint") for f in sorted(frontiers)))
     out = f"array<struct<frontier:bigint,state:{STATE},event:string>>"
 
