@@ -634,15 +634,16 @@ def decision_competitors(spark, t):  # noqa: ANN001, ANN201
 @query(f"""WITH a AS (SELECT *, 1::BIGINT AS generation, 0::BIGINT AS revision FROM ({_OUTCOME.format(c=_ALL)})), b AS ({_OUTCOME.format(c=_SOME)}),
 j AS (SELECT subject, coalesce(a.state, 'NO_CANDIDATE') AS s0, coalesce(b.state, 'NO_CANDIDATE') AS s1, a.candidate AS c0, b.candidate AS c1, a.quantity AS q0, b.quantity AS q1, coalesce(generation, 0) AS g, coalesce(revision, 0) AS r FROM a FULL JOIN b USING (subject)),
 s AS (SELECT *, coalesce(s0 = 'WINNER' AND s1 = 'WINNER' AND c0 = c1, false) AS same FROM j)
-SELECT subject, 'WINNER_OUT' AS kind, c0 AS candidate, g AS generation, r AS revision FROM s WHERE s0 = 'WINNER' AND NOT same
-UNION ALL SELECT subject, 'AMBIGUITY_EXIT', c0, g, r FROM s WHERE s0 = 'AMBIGUOUS' AND s1 <> 'AMBIGUOUS'
-UNION ALL SELECT subject, 'AMBIGUITY_ENTER', c1, g, r FROM s WHERE s1 = 'AMBIGUOUS' AND s0 <> 'AMBIGUOUS'
-UNION ALL SELECT subject, 'WINNER_IN', c1, g + 1, 0 FROM s WHERE s1 = 'WINNER' AND NOT same
-UNION ALL SELECT subject, 'WINNER_REVISION', c1, g, r + 1 FROM s WHERE same AND q0 IS DISTINCT FROM q1
-UNION ALL SELECT subject, 'NO_CANDIDATE', c1, g, r FROM s WHERE s1 = 'NO_CANDIDATE' AND s0 <> 'NO_CANDIDATE'""")
+SELECT subject, CAST(row_number() OVER (PARTITION BY subject ORDER BY place) - 1 AS INTEGER) AS step, kind, candidate, generation, revision FROM (
+SELECT subject, 'WINNER_OUT' AS kind, c0 AS candidate, g AS generation, r AS revision, 1 AS place FROM s WHERE s0 = 'WINNER' AND NOT same
+UNION ALL SELECT subject, 'AMBIGUITY_EXIT', c0, g, r, 2 FROM s WHERE s0 = 'AMBIGUOUS' AND s1 <> 'AMBIGUOUS'
+UNION ALL SELECT subject, 'AMBIGUITY_ENTER', c1, g, r, 3 FROM s WHERE s1 = 'AMBIGUOUS' AND s0 <> 'AMBIGUOUS'
+UNION ALL SELECT subject, 'WINNER_IN', c1, g + 1, 0, 4 FROM s WHERE s1 = 'WINNER' AND NOT same
+UNION ALL SELECT subject, 'WINNER_REVISION', c1, g, r + 1, 5 FROM s WHERE same AND q0 IS DISTINCT FROM q1
+UNION ALL SELECT subject, 'NO_CANDIDATE', c1, g, r, 6 FROM s WHERE s1 = 'NO_CANDIDATE' AND s0 <> 'NO_CANDIDATE')""")
 def decision_lifecycle(spark, t):  # noqa: ANN001, ANN201
     before = decisions.winners(_candidates(t), results=["quantity"]).withColumns({"generation": F.lit(1).cast("bigint"), "revision": F.lit(0).cast("bigint")})
-    return decisions.lifecycle(before, decisions.winners(_candidates(t, _PART), results=["quantity"]), ["quantity"]).drop("step")
+    return decisions.lifecycle(before, decisions.winners(_candidates(t, _PART), results=["quantity"]), ["quantity"])
 
 
 @query("""SELECT 'DUPLICATE_CANDIDATE' AS code, l_orderkey AS subject, l_suppkey AS candidate FROM lineitem GROUP BY ALL HAVING count(*) > 1""")
@@ -847,3 +848,183 @@ def work_union(spark, t):  # noqa: ANN001, ANN201
     rules = lifecycle.events(lifecycle.advance(lifecycle.seed(old, ["o_orderkey"]), new, ["o_orderkey"]), ["o_orderkey"]).select(F.lit("rule").alias("origin"), F.col("o_orderkey").alias("subject"), "kind")
     won = decisions.winners(_candidates(t)).filter("state = 'WINNER'").select(F.lit("decision").alias("origin"), "subject", F.col("state").alias("kind"))
     return rules.unionByName(won)
+
+
+# Passes and declarations: what earlier sections leave to a later pass
+
+
+@query(f"""SELECT 'BARRIER' AS state, count(*) AS affected, count(*) FILTER (WHERE ("window" + 1) * {WIDTH} + {LATENESS} <= {START + 3 * DAY}) AS late FROM ({_CHANGED})""")
+def window_barrier(spark, t):  # noqa: ANN001, ANN201
+    before, after = _passes(t)
+    return windows.admit(windows.affected(before, after, ["user_id"]), WIDTH, LATENESS, START + 3 * DAY)
+
+
+@query(f"""WITH w AS (SELECT DISTINCT user_id, "window", ("window" + 1) * {WIDTH} + {LATENESS} AS boundary FROM ({_HOURS}))
+SELECT user_id, "window", boundary, user_id || '@' || boundary AS identity FROM w WHERE boundary > {START + 5 * DAY} AND boundary <= {START + 12 * DAY}""")
+def window_ledger(spark, t):  # noqa: ANN001, ANN201
+    """Two requests, the second from before where the first ended: no window is finalized twice."""
+    known, none = _staged(t).select("user_id", "window").distinct(), spark.createDataFrame([], "identity string")
+    first = windows.ledger(windows.finalizations(known, WIDTH, LATENESS, START + 5 * DAY, START + 9 * DAY), ["user_id"], none)
+    second = windows.ledger(windows.finalizations(known, WIDTH, LATENESS, START + 8 * DAY, START + 12 * DAY), ["user_id"], first)
+    return first.unionByName(second).select("user_id", "window", "boundary", "identity")
+
+
+_TOLD = f"""WITH c AS ({_CHANGED}), b AS (SELECT user_id, "window", count(*) AS n FROM ({_BEFORE}) GROUP BY ALL), a AS (SELECT user_id, "window", count(*) AS n FROM ({_AFTER}) GROUP BY ALL)
+SELECT user_id, "window", 'sums@1/' || user_id || '/' || "window" || '/F2' AS identity, CAST(coalesce(b.n >= 2, false) OR coalesce(a.n >= 2, false) AS INTEGER) + CAST(coalesce(a.n >= 2, false) AND NOT coalesce(b.n >= 2, false) AND user_id % 2 = 0 AS INTEGER) AS support_generation
+FROM c LEFT JOIN b USING (user_id, "window") LEFT JOIN a USING (user_id, "window")"""
+
+
+def _told(t) -> DataFrame:  # noqa: ANN001
+    """The second pass's corrections; windows of even users had a support once before."""
+    before, after = _passes(t)
+    count = lambda df: windows.measure(df, ["user_id"], "count_star")
+    made = windows.corrections(count(before), count(after), windows.affected(before, after, ["user_id"]), ["user_id"], lambda v: v >= 2)
+    history = made.select("user_id", "window", F.when(F.col("was_true"), 1).when((F.col("user_id") % 2 == 0) & (F.col("event") == "ACTIVATE"), 1).otherwise(0).cast("bigint").alias("support_generation"))
+    return windows.identified(made, history, ["user_id"], "sums@1", 2)
+
+
+@query(f"SELECT user_id, \"window\", identity, CAST(support_generation AS BIGINT) AS support_generation FROM ({_TOLD})")
+def correction_identities(spark, t):  # noqa: ANN001, ANN201
+    return _told(t).select("user_id", "window", "identity", "support_generation")
+
+
+@query(f"SELECT identity FROM ({_TOLD}) WHERE identity > 'sums@1/2' ORDER BY identity LIMIT 101")
+def corrections_page(spark, t):  # noqa: ANN001, ANN201
+    return sharing.page(_told(t).select("identity"), "identity", "sums@1/2", 100)
+
+
+@query(f"SELECT subject, CAST(0 AS INTEGER) AS step, CASE WHEN state = 'WINNER' THEN 'WINNER_OUT' ELSE 'AMBIGUITY_EXIT' END AS kind FROM ({_OUTCOME.format(c=_ALL)}) UNION ALL SELECT subject, 1, 'NO_CANDIDATE' FROM ({_OUTCOME.format(c=_ALL)})")
+def decision_gap(spark, t):  # noqa: ANN001, ANN201
+    before = decisions.winners(_candidates(t)).withColumns({"generation": F.lit(1).cast("bigint"), "revision": F.lit(0).cast("bigint")})
+    return decisions.gap(before).select("subject", "step", "kind")
+
+
+@query(f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY priority, candidate) AS k, count(*) OVER (PARTITION BY subject) AS n FROM ({_ALL})),
+l AS (SELECT subject, string_agg(candidate || ':' || priority, ',' ORDER BY k) FILTER (WHERE k <= 3) AS competitors, any_value(n) > 3 AS truncated FROM r GROUP BY subject)
+SELECT o_orderkey AS subject, coalesce(state, 'NO_CANDIDATE') AS state, candidate, coalesce(competitors, '') AS competitors, coalesce(truncated, false) AS truncated
+FROM orders LEFT JOIN ({_OUTCOME.format(c=_ALL)}) o ON o.subject = o_orderkey LEFT JOIN l ON l.subject = o_orderkey""")
+def compare_decision_rows(spark, t):  # noqa: ANN001, ANN201
+    return decisions.rows_model(_candidates(t), t("orders").select(F.col("o_orderkey").alias("subject")), 3).select("subject", "state", "candidate", "competitors", "truncated")
+
+
+@query("SELECT 'MEMBER' AS state, 'member:RULE:' || n_name || ':' || n_regionkey AS key FROM nation UNION ALL SELECT 'ELIGIBLE', 'subject:' || lower(hex(CAST(c_custkey AS VARCHAR))) FROM customer WHERE c_acctbal > 5000")
+def compare_policy_rows(spark, t):  # noqa: ANN001, ANN201
+    members = t("nation").select(F.lit("RULE").alias("kind"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("version"))
+    return compare.policy_rows(members, t("customer").filter("c_acctbal > 5000").select("c_custkey"), ["c_custkey"])
+
+
+@query("""WITH a AS (SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 300000), b AS (SELECT o_orderkey, round(o_totalprice) AS o_totalprice FROM orders WHERE o_orderstatus = 'O'), j AS (SELECT a.o_orderkey AS x, b.o_orderkey AS y, a.o_totalprice AS p, b.o_totalprice AS q FROM a FULL JOIN b ON a.o_orderkey = b.o_orderkey)
+SELECT 'READY' AS state, (SELECT count(*) FROM a) AS current_rows, (SELECT count(*) FROM b) AS proposed_rows, count(*) FILTER (WHERE x IS NULL) AS added, count(*) FILTER (WHERE y IS NULL) AS removed, count(*) FILTER (WHERE x = y AND p <> q) AS changed, count(*) FILTER (WHERE x = y AND p = q) AS unchanged FROM j""")
+def compare_report(spark, t):  # noqa: ANN001, ANN201
+    orders = t("orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    seen = tuple(compare.checksum(orders).first())
+    current, proposed = orders.filter("o_totalprice > 300000").drop("o_orderstatus"), orders.filter("o_orderstatus = 'O'").select("o_orderkey", F.round("o_totalprice").alias("o_totalprice"))
+    return compare.report(current, proposed, ["o_orderkey"], 10_000_000_000, seen, tuple(compare.checksum(orders).first()))
+
+
+@query(f"""WITH e AS ({_EPISODES}), l AS (SELECT *, rule_version % 2 AS agenda_group FROM e WHERE rule_version IN (0, 1, 3)), f AS (SELECT agenda_group FROM l WHERE state = 'LEASED' GROUP BY 1 HAVING count(*) >= CASE WHEN agenda_group = 0 THEN 1 ELSE 1000000 END)
+SELECT episode_id, rule_version, agenda_group FROM l WHERE agenda_group NOT IN (SELECT agenda_group FROM f)""")
+def agenda_admissible(spark, t):  # noqa: ANN001, ANN201
+    """Versions 2 and 4 are paused or behind a barrier; group 0 has one lease, group 1 a million."""
+    versions = spark.createDataFrame([(v, "PAUSED" if v == 2 else "DRAINING" if v == 3 else "ACTIVE", v % 2) for v in range(5)], "rule_version long, state string, agenda_group long")
+    groups = spark.createDataFrame([(0, 1), (1, 1_000_000)], "agenda_group long, most_leased long")
+    return agenda.admissible(_episodes(t), versions, spark.createDataFrame([(4,)], "rule_version long"), groups, _NOW).select("episode_id", "rule_version", "agenda_group")
+
+
+@query(f"""WITH e AS ({_EPISODES}) SELECT episode_id, CASE WHEN conflict_key IN ({_RICH}) THEN 'KEPT' WHEN state IN ('PENDING', 'RETRY_WAIT') THEN 'WITHDRAWN' WHEN state = 'LEASED' THEN 'SKIPPED' ELSE 'KEPT' END AS scope_state FROM e""")
+def agenda_scope_recheck(spark, t):  # noqa: ANN001, ANN201
+    supports = t("customer").select(F.col("c_custkey").alias("conflict_key"), (F.col("c_acctbal") > 5000).alias("active"))
+    return agenda.scope_recheck(_episodes(t), supports, ["conflict_key"]).select("episode_id", "scope_state")
+
+
+_VALID = "SELECT c_custkey, c_mktsegment AS policy_set, c_acctbal > 0 AS active, CAST(c_custkey % 50 AS BIGINT) AS valid_from, CASE WHEN c_custkey % 3 > 0 THEN CAST(c_custkey % 50 + 10 AS BIGINT) END AS valid_to FROM customer"
+
+
+def _valid(t) -> DataFrame:  # noqa: ANN001
+    start = (F.col("c_custkey") % 50).cast("bigint")
+    return t("customer").select("c_custkey", F.col("c_mktsegment").alias("policy_set"), (F.col("c_acctbal") > 0).alias("active"), start.alias("valid_from"), F.when(F.col("c_custkey") % 3 > 0, start + 10).alias("valid_to"))
+
+
+@query(f"SELECT c_custkey, policy_set FROM ({_VALID}) WHERE active AND valid_from <= 30 AND (valid_to IS NULL OR valid_to > 30) AND policy_set <> 'BUILDING'")
+def policy_effective(spark, t):  # noqa: ANN001, ANN201
+    return policy.effective(_valid(t), 30, spark.createDataFrame([("BUILDING",)], "policy_set string")).select("c_custkey", "policy_set")
+
+
+@query(f"SELECT c_custkey, valid_to FROM ({_VALID}) WHERE active AND valid_to > 20 AND valid_to <= 30")
+def policy_expired(spark, t):  # noqa: ANN001, ANN201
+    return policy.expired(_valid(t), 20, 30).select("c_custkey", "valid_to")
+
+
+@query(f"SELECT c_custkey, policy_set, 'BLOCKED' AS state FROM ({_VALID}) WHERE active AND policy_set = 'BUILDING' UNION ALL SELECT c_custkey, policy_set, 'REFRESHED' FROM ({_VALID}) WHERE valid_to IS NULL AND policy_set <> 'BUILDING'")
+def policy_blocked(spark, t):  # noqa: ANN001, ANN201
+    rows = _valid(t)
+    return policy.blocked(rows.filter("active"), rows.filter("valid_to IS NULL"), spark.createDataFrame([("BUILDING",)], "policy_set string")).select("c_custkey", "policy_set", "state")
+
+
+@query("SELECT 'MEMBERS_OVER_LIMIT' AS code, count(*) - 64 AS n FROM supplier HAVING count(*) > 64 UNION ALL SELECT 'MEMBER_KIND', count(*) FILTER (WHERE s_nationkey > 20) FROM supplier HAVING count(*) FILTER (WHERE s_nationkey > 20) > 0 UNION ALL SELECT 'MEMBER_DUPLICATE', count(*) - count(DISTINCT (s_nationkey > 20, s_suppkey % 7)) FROM supplier HAVING count(*) > count(DISTINCT (s_nationkey > 20, s_suppkey % 7)) UNION ALL SELECT 'EVIDENCE_LIMIT', 1")
+def policy_declaration(spark, t):  # noqa: ANN001, ANN201
+    members = t("supplier").select(F.when(F.col("s_nationkey") > 20, "TABLE").otherwise("RULE").alias("kind"), (F.col("s_suppkey") % 7).cast("string").alias("name"), F.lit(1).alias("version"))
+    return policy.declaration_findings(members, 1_001)
+
+
+@query("SELECT c_custkey, kind, version FROM (SELECT c_custkey, 'EXPIRED' AS kind, 1 AS version FROM customer WHERE c_custkey % 3 > 0 UNION ALL SELECT c_custkey, 'EFFECTIVE', 2 FROM customer WHERE c_custkey % 3 = 2 UNION ALL SELECT c_custkey, 'GAP', NULL FROM customer WHERE c_custkey % 3 = 1)")
+def effective_history(spark, t):  # noqa: ANN001, ANN201
+    """One version for ever, one that ends, or one that ends where the next begins; the frontier moves over the end."""
+    k, version = F.col("c_custkey") % 3, lambda n, a, b: F.struct(F.lit(n).alias("version"), F.lit(a).cast("bigint").alias("valid_from"), F.lit(b).cast("bigint").alias("valid_to"))
+    listed = F.when(k == 0, F.array(version(1, 0, None))).when(k == 1, F.array(version(1, 0, 10))).otherwise(F.array(version(1, 0, 10), version(2, 10, None)))
+    rows = t("customer").select("c_custkey", F.explode(listed).alias("v")).select("c_custkey", "v.*")
+    return effective.history(rows, ["c_custkey"], 5, 15)
+
+
+@query("SELECT c_custkey, 2 AS version, 'RETROACTIVE' AS code FROM customer WHERE c_custkey % 4 <= 2")
+def effective_retroactive(spark, t):  # noqa: ANN001, ANN201
+    rows = t("customer").select("c_custkey", F.lit(2).alias("version"), (F.col("c_custkey") % 4).cast("bigint").alias("valid_from"), F.lit(False).alias("admitted"))
+    return effective.retroactive(rows, ["c_custkey"], 2)
+
+
+@query(f"WITH e AS ({_EPISODES}) SELECT episode_id, CASE WHEN state IN ('PENDING', 'RETRY_WAIT') AND rule_version = 2 AND conflict_key % 2 = 0 THEN 'SUPERSEDED' ELSE state END AS state FROM e")
+def effective_superseded(spark, t):  # noqa: ANN001, ANN201
+    gone = t("customer").filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("conflict_key"), F.lit(2).cast("bigint").alias("rule_version"))
+    return effective.superseded(_episodes(t), ["conflict_key"], gone).select("episode_id", "state")
+
+
+@query("SELECT 0 AS ordinal, 'lines' AS family, count(*) FILTER (WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O')) AS eligible, count(*) FILTER (WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O')) AS protected FROM lineitem WHERE l_discount > 0.05 UNION ALL SELECT 1, 'orders', count(*), 0 FROM orders WHERE o_totalprice < 50000 UNION ALL SELECT 2, 'customers', count(*), 0 FROM customer WHERE c_acctbal < 0")
+def retention_families(spark, t):  # noqa: ANN001, ANN201
+    tables = {"customers": (t("customer"), F.col("c_acctbal") < 0, "c_custkey"), "orders": (t("orders"), F.col("o_totalprice") < 50000, "o_orderkey"), "lines": (t("lineitem"), F.col("l_discount") > 0.05, "l_orderkey")}
+    return retention.families(tables, {"orders": "customers", "lines": "orders"}, {"lines": t("orders").filter("o_orderstatus = 'O'").select(F.col("o_orderkey").alias("l_orderkey"))})
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_totalprice < 50000 AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_discount <= 0.05)")
+def retention_parents(spark, t):  # noqa: ANN001, ANN201
+    """Old orders whose lines have all gone."""
+    left = t("lineitem").filter("l_discount <= 0.05").select(F.col("l_orderkey").alias("o_orderkey"))
+    return retention.childless(t("orders").filter("o_totalprice < 50000").select("o_orderkey"), left, "o_orderkey")
+
+
+@query(f"SELECT event_id, CASE WHEN {_OLD_EVENTS} THEN NULL ELSE props END AS props FROM events")
+def retention_payloads(spark, t):  # noqa: ANN001, ANN201
+    return retention.without_payloads(t("events").select("event_id", "ts", "props"), times.epoch_micros(F.col("ts")) < START + 15 * DAY, ["props"]).select("event_id", "props")
+
+
+@query(f"SELECT o_orderkey, 'ACTIVATE' AS kind, deadline AS declared_deadline, CAST({_DUE} AS BIGINT) AS observed_frontier FROM ({_DEADLINES}) WHERE deadline > {_DUE - 7 * DAY} AND deadline <= {_DUE}")
+def deadline_lifecycle(spark, t):  # noqa: ANN001, ANN201
+    return temporal.deadline_events(_deadlines(t), ["o_orderkey"], "deadline", _DUE - 7 * DAY, _DUE)
+
+
+@query("SELECT 'TEMPORAL_LIMIT' AS code, count(DISTINCT user_id) AS n FROM events HAVING count(DISTINCT user_id) > 50")
+def temporal_limit(spark, t):  # noqa: ANN001, ANN201
+    return temporal.over_limit(t("events").select("user_id"), 50)
+
+
+@query("""SELECT 'DERIVED_FACT_INVALID' AS code, c_mktsegment AS rule, count(*) AS n FROM customer WHERE c_acctbal > 0 AND c_custkey % 2 = 1 GROUP BY 2 UNION ALL SELECT 'DERIVED_FACT_MISSING', c_mktsegment, count(*) FROM customer WHERE c_acctbal <= 0 AND c_custkey % 2 = 0 GROUP BY 2
+UNION ALL SELECT 'SOURCE_DRIFT', n_name, 1 FROM nation WHERE n_regionkey = 2""")
+def health_drift(spark, t):  # noqa: ANN001, ANN201
+    facts = t("customer").select(F.col("c_mktsegment").alias("relation"), "c_custkey", "c_acctbal")
+    known = t("nation").select(F.col("n_name").alias("rule"), F.lit("a").alias("fingerprint"))
+    present = t("nation").select(F.col("n_name").alias("rule"), F.when(F.col("n_regionkey") == 2, "b").otherwise("a").alias("fingerprint"))
+    return health.derived_findings(facts.filter("c_acctbal > 0"), facts.filter("c_custkey % 2 = 0"), ["c_custkey"]).unionByName(health.drift(known, present))
+
+
+@query("SELECT l_orderkey, string_agg(CAST(l_suppkey AS VARCHAR), ',' ORDER BY l_linenumber, CAST(l_suppkey AS VARCHAR)) AS listed, count(*) AS n FROM lineitem GROUP BY l_orderkey")
+def ordered_list(spark, t):  # noqa: ANN001, ANN201
+    return sharing.listed(t("lineitem"), ["l_orderkey"], "l_suppkey", "l_linenumber")

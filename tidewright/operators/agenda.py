@@ -56,6 +56,24 @@ def recheck(episodes: DataFrame, state: DataFrame, keys: list[str]) -> DataFrame
     return episodes.join(now, keys, "left").withColumn("eligible", F.coalesce(ok, F.col("kind") == "DEACTIVATE")).drop("s_active", "s_generation", "s_revision")
 
 
+def admissible(episodes: DataFrame, versions: DataFrame, barriers: DataFrame, groups: DataFrame, now: int) -> DataFrame:
+    """Episodes of versions (rule_version, state, agenda_group) that are ACTIVE or DRAINING, behind no barrier
+    (rule_version), and of agenda groups (agenda_group, most_leased) that have leases left; adds agenda_group."""
+    live = versions.filter(F.col("state").isin("ACTIVE", "DRAINING")).select("rule_version", "agenda_group").join(barriers.select("rule_version").distinct(), "rule_version", "left_anti")
+    grouped = episodes.join(live, "rule_version")
+    leased = grouped.filter((F.col("state") == "LEASED") & (F.col("lease_until") > now)).groupBy("agenda_group").agg(F.count(F.lit(1)).alias("leased"))
+    full = groups.join(leased, "agenda_group").filter("leased >= most_leased").select("agenda_group")
+    return grouped.join(full, "agenda_group", "left_anti")
+
+
+def scope_recheck(episodes: DataFrame, supports: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds scope_state: WITHDRAWN for waiting work whose scope has no active support left, SKIPPED for leased work, else KEPT."""
+    active = supports.filter("active").select(*keys).distinct().withColumn("supported", F.lit(True))
+    gone = F.col("supported").isNull()
+    state = F.when(gone & F.col("state").isin(*CLAIMABLE), "WITHDRAWN").when(gone & (F.col("state") == "LEASED"), "SKIPPED").otherwise("KEPT")
+    return episodes.join(active, keys, "left").withColumn("scope_state", state).drop("supported")
+
+
 def settle(results: DataFrame, now: int, initial: int, multiplier: float, most: int, attempts: int) -> DataFrame:
     """The next state of executed episodes: DONE, SKIPPED, RETRY_WAIT with a delay, or FAILED.
 

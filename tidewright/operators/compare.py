@@ -31,6 +31,33 @@ def results(current: DataFrame, proposed: DataFrame, keys: list[str]) -> DataFra
     return tag(current, "current").unionByName(tag(proposed, "proposed")).unionByName(tag(changed.select(*keys, *pick), "delta"))
 
 
+def five_results(current: DataFrame, proposed: DataFrame, keys: list[str], events: DataFrame, work: DataFrame) -> DataFrame:
+    """results() and, as result sets of their own, the lifecycle events and the work that a deployment would make (keys and kind)."""
+    told = lambda df, name: df.select(F.lit(name).alias("result_set"), *keys, "kind")
+    return results(current, proposed, keys).unionByName(told(events, "lifecycle").unionByName(told(work, "work")), allowMissingColumns=True)
+
+
+def report(current: DataFrame, proposed: DataFrame, keys: list[str], most: int, before: tuple, after: tuple) -> DataFrame:
+    """One row about a comparison: READY with counts by change, or PARTIAL without them.
+
+    PARTIAL: either side has more than `most` rows, or the source's checksum (rows and
+    checksum, as checksum() gives them) before the comparison is not the one after it.
+    """
+    moved = tuple(before) != tuple(after)
+    sizes = current.agg(F.count(F.lit(1)).alias("current_rows")).crossJoin(proposed.agg(F.count(F.lit(1)).alias("proposed_rows")))  # one row each
+    kinds = ("ADDED", "REMOVED", "CHANGED", "UNCHANGED")
+    counted = delta(current, proposed, keys).agg(*(F.count_if(F.col("change") == k).alias(k.lower()) for k in kinds))  # one row
+    ready = F.lit(not moved) & (F.col("current_rows") <= most) & (F.col("proposed_rows") <= most)
+    return sizes.crossJoin(counted).select(F.when(ready, "READY").otherwise("PARTIAL").alias("state"), "current_rows", "proposed_rows", *(F.when(ready, F.col(k.lower())).alias(k.lower()) for k in kinds))
+
+
+def policy_rows(members: DataFrame, subjects: DataFrame, keys: list[str]) -> DataFrame:
+    """A policy set for comparisons: MEMBER rows member:<kind>:<name>:<version> and ELIGIBLE rows subject:<hex of the canonical key>."""
+    member = members.select(F.lit("MEMBER").alias("state"), F.concat_ws(":", F.lit("member"), "kind", "name", F.col("version").cast("string")).alias("key"))
+    text = F.concat_ws("/", *(F.col(k).cast("string") for k in keys))
+    return member.union(subjects.select(*keys).distinct().select(F.lit("ELIGIBLE"), F.concat(F.lit("subject:"), F.lower(F.hex(text.cast("binary"))))))
+
+
 def checksum(rows: DataFrame) -> DataFrame:
     """Rows and an order-free checksum of them: the sum of 32 bits of each row's MD5.
 

@@ -40,6 +40,18 @@ def competitors(candidates: DataFrame, most: int = COMPETITORS) -> DataFrame:
     return candidates.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most).join(counts, "subject")
 
 
+def gap(previous: DataFrame, results: list[str] | None = None) -> DataFrame:
+    """The events of a time without an effective version: every winner goes, every ambiguity ends, all are without a candidate."""
+    return lifecycle(previous, previous.filter("false"), results)
+
+
+def rows_model(candidates: DataFrame, subjects: DataFrame, most: int = COMPETITORS, results: list[str] | None = None) -> DataFrame:
+    """One row a subject for comparisons: state, candidate, priority, results, its first competitors and whether there are more."""
+    listed = competitors(candidates, most).groupBy("subject").agg(F.array_sort(F.collect_list(F.struct("rank", "candidate", "priority"))).alias("c"), F.first("truncated").alias("truncated"))  # `most` at most
+    named = listed.select("subject", F.expr("array_join(transform(c, x -> concat(x.candidate, ':', x.priority)), ',')").alias("competitors"), "truncated")
+    return winners(candidates, subjects, results).join(named, "subject", "left").na.fill({"competitors": "", "truncated": False})
+
+
 def violations(candidates: DataFrame) -> DataFrame:
     """Rows that a decision can't take: null fields and repeated (subject, candidate)."""
     null = candidates.filter("subject IS NULL OR candidate IS NULL OR priority IS NULL").select(F.lit("NULL_FIELD").alias("code"), "subject", "candidate")

@@ -87,6 +87,16 @@ class Program:
         return level
 
 
+def program_order(programs: dict[str, set[str]]) -> list[str]:
+    """Programs (by name, with those whose facts they read) in the order in which they run; a cycle is an error."""
+    above = {n: set(p) & set(programs) for n, p in programs.items()}
+    for _ in programs:
+        above = {n: a.union(*(above[m] for m in a)) for n, a in above.items()}
+    if loops := sorted(n for n, a in above.items() if n in a):
+        raise ValueError(f"RUN_PROGRAM_CYCLE: {', '.join(loops)}")
+    return sorted(programs, key=lambda n: (len(above[n]), n))
+
+
 def aggregate_truth(groups: DataFrame, items: DataFrame, key: list[str], aggregate: Aggregate) -> DataFrame:
     """Each group's key with the aggregate's exact value and its truth; a missing group counts 0."""
     of = F.col(aggregate.column) if aggregate.column else None

@@ -27,6 +27,28 @@ def rejected(versions: DataFrame, keys: list[str]) -> DataFrame:
     return versions.withColumn("code", code).filter("code IS NOT NULL").select(*keys, "version", "code")
 
 
+def retroactive(versions: DataFrame, keys: list[str], frontier: int) -> DataFrame:
+    """Versions not admitted yet (admitted is false) that would change what has been decided up to the frontier."""
+    return versions.filter(~F.col("admitted") & (F.col("valid_from") <= frontier)).select(*keys, "version", F.lit("RETROACTIVE").alias("code"))
+
+
+def history(versions: DataFrame, keys: list[str], previous: int, frontier: int) -> DataFrame:
+    """What moving the frontier makes of each key's authority: EFFECTIVE (a version begins to hold), EXPIRED (one ends), GAP (none holds any more)."""
+    old = authority(versions, keys, previous).select(*keys, F.col("version").alias("old"))
+    new = authority(versions, keys, frontier).select(*keys, F.col("version").alias("new"))
+    moved = old.join(new, keys, "full_outer").filter("NOT old <=> new")
+    row = lambda kind, version: F.struct(F.lit(kind).alias("kind"), version.alias("version"))
+    told = F.array(F.when(F.col("old").isNotNull(), row("EXPIRED", F.col("old"))), F.when(F.col("new").isNotNull(), row("EFFECTIVE", F.col("new"))), F.when(F.col("new").isNull(), row("GAP", F.col("new"))))
+    return moved.select(*keys, F.explode(F.filter(told, lambda x: x.isNotNull())).alias("h")).select(*keys, "h.kind", "h.version")
+
+
+def superseded(episodes: DataFrame, keys: list[str], versions: DataFrame) -> DataFrame:
+    """Episodes after a switch: waiting work of versions (keys, rule_version) that hold no more is SUPERSEDED."""
+    gone = versions.select(*keys, "rule_version").distinct().withColumn("gone", F.lit(True))
+    waiting = F.col("state").isin("PENDING", "RETRY_WAIT") & F.col("gone").isNotNull()
+    return episodes.join(gone, [*keys, "rule_version"], "left").withColumn("state", F.when(waiting, "SUPERSEDED").otherwise(F.col("state"))).drop("gone")
+
+
 def as_of(rows: DataFrame, versions: DataFrame, keys: list[str], at: str) -> DataFrame:
     """Each row with the version of its key that holds at the row's own time.
 

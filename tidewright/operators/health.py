@@ -16,3 +16,15 @@ def findings(episodes: DataFrame, barriers: DataFrame, now: int, most_pending: i
         .unionByName(one(episodes.filter((F.col("state") == "LEASED") & (F.col("lease_until") <= now)), "STALE_LEASE"))
         .unionByName(backlog)
     )
+
+
+def derived_findings(stored: DataFrame, expected: DataFrame, keys: list[str]) -> DataFrame:
+    """DERIVED_FACT_INVALID and DERIVED_FACT_MISSING with the facts that only one side has, counted by relation."""
+    one = lambda a, b, code: a.join(b.select("relation", *keys), ["relation", *keys], "left_anti").groupBy(F.col("relation").alias("rule")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(code).alias("code"), "rule", "n")
+    return one(stored, expected, "DERIVED_FACT_INVALID").unionByName(one(expected, stored, "DERIVED_FACT_MISSING"))
+
+
+def drift(known: DataFrame, present: DataFrame, code: str = "SOURCE_DRIFT") -> DataFrame:
+    """Sources (rule, fingerprint) that are no longer what a deployment saw, with 1 for each."""
+    now = present.select("rule", F.col("fingerprint").alias("now"))
+    return known.join(now, "rule", "left").filter("NOT fingerprint <=> now").select(F.lit(code).alias("code"), "rule", F.lit(1).cast("bigint").alias("n"))

@@ -55,3 +55,36 @@ def upsert_supports(supports: DataFrame, matches: DataFrame, keys: list[str], su
         (F.coalesce("support_generation", F.lit(0).cast("bigint")) + fresh.cast("int")).alias("support_generation"),
         F.when(here & ~was, "ADDED").when(was & ~here, "REMOVED").alias("change"),
     )
+
+
+#: How many members a policy set has, how much evidence an answer may ask for, and what members are.
+MEMBERS, EVIDENCE, KINDS = 64, 1_000, ("RULE", "DECISION")
+
+
+def declaration_findings(members: DataFrame, evidence: int) -> DataFrame:
+    """Why a policy set (kind, name, version) can't be declared: codes with counts."""
+    seen = members.agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("kind").isin(*KINDS)).alias("kinds"), (F.count(F.lit(1)) - F.count_distinct("kind", "name")).alias("twice"))
+    finding = lambda code, n: F.struct(F.lit(code).alias("code"), n.cast("bigint").alias("n"))
+    rows = F.array(
+        finding("MEMBERS_EMPTY", F.when(F.col("n") == 0, 1).otherwise(0)), finding("MEMBERS_OVER_LIMIT", F.col("n") - MEMBERS), finding("MEMBER_KIND", F.col("kinds")), finding("MEMBER_DUPLICATE", F.col("twice")), finding("EVIDENCE_LIMIT", F.lit(0 if 1 <= evidence <= EVIDENCE else 1))
+    )
+    return seen.select(F.explode(rows).alias("f")).select("f.code", "f.n").filter("n > 0")
+
+
+def effective(supports: DataFrame, frontier: int, barriers: DataFrame) -> DataFrame:
+    """Supports that count at the frontier: active, within their half-open interval, of a set without a barrier (policy_set)."""
+    inside = (F.col("valid_from") <= frontier) & (F.col("valid_to").isNull() | (F.col("valid_to") > frontier))
+    return supports.filter(F.col("active") & inside).join(barriers.select("policy_set").distinct(), "policy_set", "left_anti")
+
+
+def expired(supports: DataFrame, previous: int, frontier: int) -> DataFrame:
+    """Active supports whose interval ended after the previous frontier and not after this one. The frontier never falls."""
+    if frontier < previous:
+        raise ValueError("a frontier never falls")
+    return supports.filter(F.col("active") & (F.col("valid_to") > previous) & (F.col("valid_to") <= frontier))
+
+
+def blocked(prior: DataFrame, fresh: DataFrame, failed: DataFrame) -> DataFrame:
+    """Supports after a refresh in which sets have failed (policy_set): theirs stay as they were, state BLOCKED; the others' are the fresh ones, REFRESHED."""
+    bad = failed.select("policy_set").distinct()
+    return prior.join(bad, "policy_set", "left_semi").withColumn("state", F.lit("BLOCKED")).unionByName(fresh.join(bad, "policy_set", "left_anti").withColumn("state", F.lit("REFRESHED")))

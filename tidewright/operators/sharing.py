@@ -38,3 +38,9 @@ def page(rows: DataFrame, order: str, after: object | None, limit: int) -> DataF
     if not 1 <= limit <= 1000:
         raise ValueError("a page has 1 to 1000 rows")
     return (rows if after is None else rows.filter(F.col(order) > F.lit(after))).orderBy(order).limit(limit + 1)
+
+
+def listed(rows: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:
+    """Values of each key in an order, joined by commas; ties by value. Made for bounded groups: a list is one row."""
+    both = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).cast("string").alias("v"))))
+    return rows.groupBy(*keys).agg(both.alias("l")).select(*keys, F.expr("array_join(transform(l, x -> x.v), ',')").alias("listed"), F.size("l").cast("bigint").alias("n"))

@@ -99,6 +99,24 @@ def advance(state: DataFrame, inputs: DataFrame, keys: list[str], frontier: int,
     return moved.select(*keys, "state", _event(F.col("prior.active"), F.col("state.active")).alias("event"))
 
 
+def over_limit(keys: DataFrame, most: int = 100_000) -> DataFrame:
+    """One row TEMPORAL_LIMIT with the number of keys, if a pass would hold more than it may."""
+    return keys.distinct().agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most).select(F.lit("TEMPORAL_LIMIT").alias("code"), "n")
+
+
+def deadline_events(rows: DataFrame, keys: list[str], deadline: str, previous: int | None, frontier: int) -> DataFrame:
+    """Lifecycle rows of deadlines that the frontier has reached: keys, ACTIVATE, the declared deadline and the frontier that saw it."""
+    return crossing(rows, deadline, previous, frontier).select(*keys, F.lit("ACTIVATE").alias("kind"), F.col(deadline).alias("declared_deadline"), F.lit(frontier).cast("bigint").alias("observed_frontier"))
+
+
+def deadline_findings(rows: DataFrame, deadline: str) -> DataFrame:
+    """Why a column can't be a deadline: DEADLINE_TYPE, or DEADLINE_NULL with the number of rows."""
+    kind = rows.schema[deadline].dataType.simpleString()
+    if kind not in ("bigint", "timestamp", "timestamp_ntz"):
+        return rows.sparkSession.range(1).select(F.lit("DEADLINE_TYPE").alias("code"), F.col("id").alias("n"))
+    return rows.agg(F.count_if(F.col(deadline).isNull()).alias("n")).filter("n > 0").select(F.lit("DEADLINE_NULL").alias("code"), "n")
+
+
 def _event(was: Column, now: Column) -> Column:
     was = F.coalesce(was, F.lit(False))
     return F.when(now & ~was, "ACTIVATE").when(was & ~now, "DEACTIVATE")

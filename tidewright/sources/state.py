@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tidewright.operators import compare
+from tidewright.sources.scratch import written
+
 
 class StateTable:
     """One writer, any readers; path is on storage that all executors share."""
@@ -32,10 +35,23 @@ class StateTable:
             return self.spark.createDataFrame([], self.schema)
         return self.spark.read.schema(self.schema).parquet(f"{self.path}/v{at}")
 
-    def write(self, rows: DataFrame, partition_by: list[str] | None = None) -> int:
-        """Writes the next version and moves the pointer; returns the version."""
+    def write(self, rows: DataFrame, partition_by: list[str] | None = None, move: bool = True) -> int:
+        """Writes the next version and, unless told otherwise, moves the pointer; returns the version."""
         at = self.version() + 1
         writer = rows.select(*self.schema.names).write.mode("overwrite")
         (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{self.path}/v{at}")
-        self.spark.range(1).select(F.lit(at).cast("long").alias("version")).coalesce(1).write.mode("append").parquet(f"{self.path}/pointers")
+        if move:
+            self.move(at)
         return at
+
+    def move(self, at: int) -> None:
+        """Makes a written version the current one."""
+        self.spark.range(1).select(F.lit(at).cast("long").alias("version")).coalesce(1).write.mode("append").parquet(f"{self.path}/pointers")
+
+    def write_if_changed(self, rows: DataFrame) -> bool:
+        """Writes a version unless the rows are those of the current one, as a multiset, by count and checksum."""
+        after = written(rows.select(*self.schema.names), "candidate")
+        if compare.checksum(after).first() == compare.checksum(self.read()).first():
+            return False
+        self.write(after)
+        return True

@@ -63,6 +63,31 @@ def finalizations(windows: DataFrame, width: int, lateness: int, complete: int |
     return windows.withColumn("boundary", edge).filter(after & (F.col("boundary") <= requested))
 
 
+def admit(changed: DataFrame, width: int, lateness: int, complete: int | None) -> DataFrame:
+    """One row about a pass: BARRIER if any changed window is final, else ADVANCED, with how many windows changed and how many are late."""
+    final = F.lit(False) if complete is None else bound(F.col("window") + 1, width) + lateness <= complete
+    seen = changed.agg(F.count(F.lit(1)).alias("affected"), F.count_if(final).alias("late"))
+    return seen.select(F.when(F.col("late") > 0, "BARRIER").otherwise("ADVANCED").alias("state"), "affected", "late")
+
+
+def identified(corrected: DataFrame, history: DataFrame, groups: list[str], program: str, frontier: int) -> DataFrame:
+    """corrections() with the support's generation after them, the frontier and an identity: program/key/window/F<frontier>.
+
+    history has earlier corrections; a window's generation rises with every ACTIVATE.
+    """
+    keys = [*groups, "window"]
+    old = history.groupBy(*keys).agg(F.max("support_generation").alias("old"))
+    generation = F.coalesce("old", F.lit(0).cast("bigint")) + F.when(F.col("event") == "ACTIVATE", 1).otherwise(0)
+    identity = F.concat_ws("/", F.lit(program), *(F.col(k).cast("string") for k in keys), F.lit(f"F{frontier}"))
+    return corrected.join(old, keys, "left").select(*corrected.columns, generation.cast("bigint").alias("support_generation"), F.lit(frontier).cast("bigint").alias("frontier"), identity.alias("identity"))
+
+
+def ledger(final: DataFrame, groups: list[str], known: DataFrame) -> DataFrame:
+    """Finalizations with their identity, key@boundary, that the ledger does not have: a window is finalized once."""
+    named = final.withColumn("identity", F.concat(F.concat_ws("/", *(F.col(g).cast("string") for g in groups)), F.lit("@"), F.col("boundary").cast("string")))
+    return named.join(known.select("identity"), "identity", "left_anti")
+
+
 def prune(history: DataFrame, keys: list[str], final: DataFrame, cutoff: int) -> DataFrame:
     """Corrections that may go: superseded ones, of final windows, from before the cutoff."""
     newest = history.groupBy(*keys).agg(F.max("frontier").alias("newest"))
