@@ -144,11 +144,12 @@ def _firsts(rows: DataFrame) -> DataFrame:
     """(high, low, f_id, f_tag, f_at): the first place of each digest that has several rows.
 
     The aggregation combines before the shuffle, so a passage in a third of all documents
-    arrives as one row a task. Joins with it are sort-merge joins whose large partitions
-    are split at run time, and nothing above them needs a digest's rows together.
+    arrives as one row a task. It is written, so that a join with it has nothing but
+    shuffles below: only then are the join's large partitions split at run time. Nothing
+    above the join needs a digest's rows together.
     """
     first = rows.groupBy("high", "low").agg(F.min(_place()).alias("first"), F.count(F.lit(1)).alias("copies")).filter("copies > 1")
-    return first.select("high", "low", F.col("first.id").alias("f_id"), F.col("first.tag").alias("f_tag"), F.col("first.at").alias("f_at"))
+    return materialize(first.select("high", "low", F.col("first.id").alias("f_id"), F.col("first.tag").alias("f_tag"), F.col("first.at").alias("f_at")), "firsts").hint("merge")
 
 
 def _candidates(own: DataFrame, run_words: int) -> DataFrame:
