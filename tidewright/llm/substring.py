@@ -257,7 +257,7 @@ def _copies(texts: DataFrame) -> DataFrame:
     """(id, tag, n_words, f_id): texts that stand whole in an earlier row, by their MD5."""
     whole = materialize(texts.select("id", "tag", F.unhex(F.md5("text")).alias("whole"), F.size(words_of(F.col("text"), WHITE)).alias("n_words")), "texts")
     first = whole.groupBy("whole").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "tag")).alias("first"), F.count(F.lit(1)).alias("copies")).filter("copies > 1")
-    first = first.select("whole", F.col("first.id").alias("f_id"), F.col("first.tag").alias("f_tag"))
+    first = materialize(first.select("whole", F.col("first.id").alias("f_id"), F.col("first.tag").alias("f_tag")), "firsts").hint("merge")  # as in _firsts
     later = whole.join(first, "whole").filter("NOT (id <=> f_id AND tag = f_tag)")
     return materialize(later.select("id", "tag", "n_words", "f_id"), "copies")
 
