@@ -118,6 +118,22 @@ def test_rows_go_by_their_own_text(spark):
     assert sorted(map(tuple, left.collect()), key=key) == [(5, b), (6, b.upper()), (None, d), (None, d)]
 
 
+def test_extra_columns_of_any_name_stay(spark):
+    """Rows that share an id take the longest way; columns named like the operators' own come out as they went in."""
+    a, b, c = (" ".join(f"{x}{k}" for k in range(70)) for x in "abc")
+    extra = ["id", "key", "fp", "tag", "stays", "own_key", "_Own_Key", "_key", "_gone", "_mixed", "_id", "_stay", "n_words", "kept"]
+    rows = [(i, t, f"s{i}", len(t), *[f"{i} {e}" for e in extra]) for i, t in ((2, a), (5, a), (5, b), (None, c), (None, c), (7, b))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars int, " + ", ".join(f"`{e}` string" for e in extra))
+    bench, labels = spark.createDataFrame([(1, b)], "item_id long, text string"), spark.createDataFrame([(2, 1, 0)], LABELS)
+    one, clean, cut, good = simhash.keep_one(frame), decontaminate.drop_contaminated(frame, bench), substring.remove_repeats(frame), quality.keep(frame, labels)
+    assert [x.columns for x in (one, clean, cut, good)] == [frame.columns] * 4
+    assert sorted(tuple(r) for r in one.filter("doc_id IS NOT NULL").collect()) == [rows[0], rows[2]] and one.count() == 3
+    assert sorted(map(str, map(tuple, clean.collect()))) == sorted(map(str, [rows[0], rows[1], rows[3], rows[4]]))
+    assert cut.count() == good.count() == len(rows) and {tuple(r)[4:] for r in cut.collect()} == {r[4:] for r in rows}
+    used = mixing.mix_texts(frame, extra=tuple(extra))
+    assert {(r["doc_id"], r["text"]) for r in used.collect()} <= {r[:2] for r in rows} and set(extra) <= set(used.columns)
+
+
 def _repeated(text):
     words = WORD.findall(text)
     seen, hit = Bag(zip(words, words[1:], words[2:], strict=False)), set()

@@ -66,6 +66,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, with underscores before it for as long as df has such a column; case does not tell columns apart."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = "_" + name
+    return name
+
+
 def keep_rows(docs: DataFrame, marked: DataFrame, id_col: str, text_col: str, once: bool = False) -> DataFrame:
     """The rows of docs that stay; with `once`, one of each id and text.
 
@@ -79,12 +87,12 @@ def keep_rows(docs: DataFrame, marked: DataFrame, id_col: str, text_col: str, on
     kept = docs.join(gone, docs[id_col].eqNullSafe(gone["_gone"]), "left_anti")
     if mixed.limit(1).count() == 0:
         return kept
-    shared = docs[id_col].eqNullSafe(mixed["_mixed"])
+    shared, own = docs[id_col].eqNullSafe(mixed["_mixed"]), unused(docs, "own_key")
     stay = materialize(marked.filter("stays").join(mixed, F.col("id").eqNullSafe(F.col("_mixed")), "left_semi").select(F.col("id").alias("_id"), F.col("key").alias("_stay")).distinct(), "stay")
-    some = kept.join(mixed, shared, "left_semi").withColumn("_key", F.xxhash64(F.col(text_col)))
-    some = some.join(stay, some[id_col].eqNullSafe(stay["_id"]) & (some["_key"] == stay["_stay"]), "left_semi")
-    some = some.dropDuplicates([id_col, "_key"]) if once else some
-    return kept.join(mixed, shared, "left_anti").union(some.drop("_key"))
+    some = kept.join(mixed, shared, "left_semi").withColumn(own, F.xxhash64(F.col(text_col)))
+    some = some.join(stay, some[id_col].eqNullSafe(stay["_id"]) & (some[own] == stay["_stay"]), "left_semi")
+    some = some.dropDuplicates([id_col, own]) if once else some
+    return kept.join(mixed, shared, "left_anti").union(some.drop(own))
 
 
 def least_hashes(df: DataFrame, hashed: str, rows: int) -> DataFrame:

@@ -152,14 +152,15 @@ def mix_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 
     Each use has the text of its own row, whatever other rows have its id. Rows alike in id
     and text count as often as they are there; their extra columns are those of one of them.
+    Extra columns may have any name but those of the result's other columns.
     """
     mixed = _mixed(docs, None, 0.95, 4.0, 100_000, 1, id_col, text_col, source_col).withColumnsRenamed({"id": "u_id", "key": "u_key", "source": "u_source"})
-    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("key"), F.col(text_col).alias("text"), *extra)
+    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("key"), F.struct(F.col(text_col), *extra).alias("row"))
     ids = docs.groupBy(id_col, F.xxhash64(F.col(text_col)).alias("key")).count()
     if ids.filter("count > 1").limit(1).count():
         texts = texts.dropDuplicates(["id", "key"])
     joined = mixed.join(texts, F.col("u_id").eqNullSafe(F.col("id")) & (F.col("u_key") == F.col("key")))
-    return joined.select(F.col("id").alias(id_col), F.col("text").alias(text_col), *extra, F.col("u_source").alias(source_col), "epoch", "block", "place", "tokens")
+    return joined.select(F.col("id").alias(id_col), *(F.col("row")[c].alias(c) for c in (text_col, *extra)), F.col("u_source").alias(source_col), "epoch", "block", "place", "tokens")
 
 
 ORACLE_SQL = r"""
