@@ -4,7 +4,7 @@ import datetime as dt
 
 import pytest
 
-from tidewright.operators import coverage, derive, provenance, temporal
+from tidewright.operators import coverage, decisions, derive, effective, provenance, temporal
 from tidewright.plans.rules import Rule, RuleState
 from tidewright.sources.state import StateTable
 from tidewright.streaming.program import LateInput, Shape, WindowProgram
@@ -94,6 +94,36 @@ def test_state_is_not_written_again_unchanged(spark, tmp_path):
     assert table.version() == 2
 
 
+def test_rows_that_look_alike_as_text_are_a_change(spark, tmp_path):
+    schema = spark.createDataFrame([("", "")], "a string, b string").schema
+    table = StateTable(spark, str(tmp_path), schema)
+    assert table.write_if_changed(spark.createDataFrame([("x|y", "z"), (None, "q")], schema))
+    assert table.write_if_changed(spark.createDataFrame([("x", "y|z"), (None, "q")], schema))
+    assert table.write_if_changed(spark.createDataFrame([("x", "y|z"), ("~", "q")], schema))
+    assert not table.write_if_changed(spark.createDataFrame([("~", "q"), ("x", "y|z")], schema))
+
+
+def test_old_versions_go(spark, tmp_path):
+    table = StateTable(spark, str(tmp_path), spark.range(1).schema)
+    for n in range(1, 6):
+        table.write(spark.range(n))
+    assert table.prune(2) == 3 and table.prune(2) == 0
+    assert table.version() == 5 and table.read().count() == 5 and table.read(4).count() == 4
+
+
+def test_as_of_many_versions_is_the_join(spark):
+    """A hot key with many versions and gaps between them, rows at the same time, at starts and ends, and nulls."""
+    versions = [("hot", 10 * k, 10 * k + (10 if k % 3 else 7), k) for k in range(1, 90)] + [("cold", 5, None, 1), ("late", 2000, None, 1), (None, 0, None, 9)]
+    rows = [("hot", t, n) for n, t in enumerate([*range(0, 1000, 7), *[123] * 200, 10, 17, 20, 896, 897, 900])] + [("cold", 5, 0), ("cold", 4, 1), ("late", 1999, 2), ("none", 1, 3), (None, 1, 4), ("hot", None, 5)]
+    v = spark.createDataFrame(versions, "k string, valid_from long, valid_to long, version long")
+    r = spark.createDataFrame(rows + rows[:40], "k string, t long, n long")
+    joined = effective.as_of(r, v, ["k"], "t", few=1000)
+    assert joined.columns == effective.as_of(r, v, ["k"], "t", few=1).columns
+    want = sorted((k, t, n, x) for k, t, n in rows + rows[:40] for kk, a, b, x in versions if k == kk and k and t is not None and a <= t and (b is None or t < b))
+    for few in (1000, 1):
+        assert sorted((x["k"], x["t"], x["n"], x["version"]) for x in effective.as_of(r, v, ["k"], "t", few).collect()) == want
+
+
 def test_window_program_over_passes(spark, tmp_path):
     schema = "account long, amount long, occurred timestamp_ntz"
     make = lambda rows: spark.createDataFrame(rows, schema)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewright.sources.scratch import written
+
 
 def state_at(frontier: Column, valid_from: Column, valid_to: Column, status: Column) -> Column:
     """PAUSED and REMOVED as declared; else FUTURE, EXPIRED or CURRENT; intervals are half-open."""
@@ -49,13 +51,40 @@ def superseded(episodes: DataFrame, keys: list[str], versions: DataFrame) -> Dat
     return episodes.join(gone, [*keys, "rule_version"], "left").withColumn("state", F.when(waiting, "SUPERSEDED").otherwise(F.col("state"))).drop("gone")
 
 
-def as_of(rows: DataFrame, versions: DataFrame, keys: list[str], at: str) -> DataFrame:
-    """Each row with the version of its key that holds at the row's own time.
+#: Versions of one key up to which rows meet all of their key's versions.
+FEW_VERSIONS = 64
+
+
+def as_of(rows: DataFrame, versions: DataFrame, keys: list[str], at: str, few: int = FEW_VERSIONS) -> DataFrame:
+    """Each row with the version of its key that holds at the row's own time; rows without one, or with nulls in key or time, go.
+
+    Versions of a key don't overlap (see rejected()). Where no key has more than `few`, an
+    equi-join on the key and a range filter give the version; beyond, rows and starts of versions are sorted together.
+    """
+    most = versions.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    joined = rows.join(versions, keys) if most <= few else _latest_start(rows, versions, keys, at)
+    return joined.filter((F.col(at) >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col(at) < F.col("valid_to"))))
+
+
+def _latest_start(rows: DataFrame, versions: DataFrame, keys: list[str], at: str) -> DataFrame:
+    """Each row with the version of its key that starts last, but not after the row's time.
 
-    Versions of a key don't overlap, so an equi-join on the key and a range filter give one.
+    Both are cut into ranges of (key, time, row): a hot key has many of them, whatever its
+    rows' times. Inside a range a window carries the last start on; what came before a
+    range is the last start of the key's earlier ranges, one row each.
     """
-    inside = (F.col(at) >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col(at) < F.col("valid_to")))
-    return rows.join(versions, keys).filter(inside)
+    own, rest = [c for c in rows.columns if c not in keys], [c for c in versions.columns if c not in keys]
+    starts = versions.filter("valid_from IS NOT NULL AND (valid_to IS NULL OR valid_to > valid_from)").select(*keys, F.col("valid_from").alias("_time"), F.struct(*rest).alias("_version"))
+    timed = rows.dropna(subset=[*keys, at]).select(*keys, F.col(at).alias("_time"), F.struct(*own).alias("_row"))
+    both = starts.unionByName(timed, allowMissingColumns=True).withColumn("_order", F.when(F.col("_row").isNotNull(), F.xxhash64("_row").bitwiseAND(F.lit(2**63 - 1))).otherwise(F.lit(-1)))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = written(both.repartitionByRange(parts, *keys, "_time", "_order").withColumn("_part", F.spark_partition_id()), "ranged")
+    ends = ranged.filter("_version IS NOT NULL").groupBy(*keys, "_part").agg(F.max_by("_version", "_time").alias("_last"))
+    every = ranged.select(*keys, "_part").distinct().join(ends, [*keys, "_part"], "left")
+    before = every.withColumn("_before", F.last("_last", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))).drop("_last")
+    inside = Window.partitionBy("_part", *keys).orderBy("_time", "_order").rowsBetween(Window.unboundedPreceding, 0)
+    held = ranged.withColumn("_here", F.last("_version", ignorenulls=True).over(inside)).filter("_row IS NOT NULL").join(before, [*keys, "_part"])
+    return held.withColumn("_v", F.coalesce("_here", "_before")).filter("_v IS NOT NULL").select(*keys, *(F.col("_row")[c].alias(c) for c in own), *(F.col("_v")[c].alias(c) for c in rest))
 
 
 def parameters(condition: DataFrame, family: DataFrame, keys: list[str]) -> DataFrame:

@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tidewright.operators import compare
 from tidewright.sources.scratch import written
 
 
@@ -49,9 +48,21 @@ class StateTable:
         self.spark.range(1).select(F.lit(at).cast("long").alias("version")).coalesce(1).write.mode("append").parquet(f"{self.path}/pointers")
 
     def write_if_changed(self, rows: DataFrame) -> bool:
-        """Writes a version unless the rows are those of the current one, as a multiset, by count and checksum."""
+        """Writes a version unless the rows are those of the current one, as a multiset. Both are counted by whole rows, so no difference is missed."""
         after = written(rows.select(*self.schema.names), "candidate")
-        if compare.checksum(after).first() == compare.checksum(self.read()).first():
+        both = after.withColumn("_n", F.lit(1)).unionByName(self.read().withColumn("_n", F.lit(-1)))
+        if not both.groupBy(*self.schema.names).agg(F.sum("_n").alias("_n")).filter("_n <> 0").limit(1).count():
             return False
         self.write(after)
         return True
+
+    def prune(self, keep: int = 2) -> int:
+        """Deletes versions but the last `keep`; returns how many went. Readers of older ones must be done."""
+        if keep < 1:
+            raise ValueError("the current version stays")
+        jvm = self.spark._jvm.org.apache.hadoop.fs
+        system = jvm.Path(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        gone, at = 0, self.version() - keep
+        while at > 0 and system.delete(jvm.Path(f"{self.path}/v{at}"), True):  # older ones went before
+            gone, at = gone + 1, at - 1
+        return gone
