@@ -4,7 +4,7 @@ import datetime as dt
 
 import pytest
 
-from tidewright.operators import coverage, decisions, derive, effective, provenance, temporal
+from tidewright.operators import compare, coverage, decisions, derive, effective, provenance, temporal
 from tidewright.plans.rules import Rule, RuleState
 from tidewright.sources.state import StateTable
 from tidewright.streaming.program import LateInput, Shape, WindowProgram
@@ -242,3 +242,34 @@ def test_deadlines_are_checked(spark):
     assert rows_of(temporal.deadline_findings(rows, "due"), "code", "n") == [("DEADLINE_NULL", 1)]
     assert [r["code"] for r in temporal.deadline_findings(rows, "text").collect()] == ["DEADLINE_TYPE"]
     assert temporal.deadline_findings(rows.filter("due IS NOT NULL"), "due").count() == 0
+
+
+def test_decision_tables_have_types():
+    from pyspark.sql.types import StructType
+
+    good = StructType.fromDDL("subject long, candidate long, priority long, a decimal(9,2), b string, c timestamp")
+    assert decisions.typing(good, ["a", "b", "c"]) == []
+    bad = StructType.fromDDL("subject int, priority string, a array<int>, b double")
+    assert decisions.typing(bad, ["a", "b", "c"]) == [("IDENTITY_TYPE", "subject"), ("CANDIDATE_COLUMN", "candidate"), ("PRIORITY_TYPE", "priority"), ("RESULT_TYPE", "a"), ("RESULT_TYPE", "b"), ("RESULT_COLUMN", "c")]
+
+
+def test_source_is_current_as_a_multiset(spark):
+    rows = spark.createDataFrame([(1, None), (1, None), (2, "x")], "a int, b string")
+    state = lambda a, b: tuple(compare.source_current(a, b).first())
+    assert state(rows, rows.repartition(2)) == ("CURRENT", 0, 0)
+    assert state(rows, rows.distinct()) == ("STALE", 1, 0)
+    assert state(rows.filter("a = 2"), rows.filter("a = 1")) == ("STALE", 1, 2)
+    assert state(rows.filter("false"), rows.filter("false")) == ("CURRENT", 0, 0)
+    assert state(rows, rows.withColumn("b", rows["a"]))[0] == "SCHEMA_CHANGED"
+
+
+def test_proof_of_facts_that_rest_on_themselves(spark):
+    """x rests on itself and on a seed, y on x; for key 2 x has the seed alone."""
+    program = derive.Program((derive.Rule("seed", "x", "s"), derive.Rule("again", "x", "t", ("x",)), derive.Rule("next", "y", "s", ("x",), ("z",)), derive.Rule("never", "z", "u")), ("k",))
+    sources = {"s": spark.createDataFrame([(1,), (2,)], "k long"), "t": spark.createDataFrame([(1,)], "k long"), "u": spark.createDataFrame([], "k long")}
+    facts = derive.evaluate(program, sources)
+    wanted = spark.createDataFrame([("y", 1), ("y", 2), ("z", 1), ("x", 9)], "relation string, k long")
+    got = rows_of(derive.fact_proof(program, sources, facts, wanted), "relation", "k", "depth", "rule", "kind", "name", "value", "cycle")
+    y = [("y", k, 0, "next", kind, name, None, False) for k in (1, 2) for kind, name in (("SOURCE", "s"), ("INPUT", "x"), ("NEGATIVE", "z"))]
+    x = [("x", 1, 1, "again", "SOURCE", "t", None, False), ("x", 1, 1, "again", "INPUT", "x", None, True)] + [("x", k, 1, "seed", "SOURCE", "s", None, False) for k in (1, 2)]
+    assert got == sorted(x + y, key=str)

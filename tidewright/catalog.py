@@ -836,7 +836,7 @@ def retention_remaining(spark, t):  # noqa: ANN001, ANN201
 @query(f"""WITH e AS ({_EPISODES})
 SELECT 'BARRIER' AS code, rule_version AS rule, count(*) AS n FROM e WHERE kind = 'CHANGE' AND rule_version = 2 GROUP BY 2
 UNION ALL SELECT 'STALE_LEASE', rule_version, count(*) FROM e WHERE state = 'LEASED' GROUP BY 2
-UNION ALL SELECT 'AGENDA_BACKLOG', rule_version, count(*) FROM e WHERE state IN ('PENDING', 'RETRY_WAIT') GROUP BY 2 HAVING count(*) * 5 >= 1000 * 4""")
+UNION ALL SELECT 'AGENDA_BACKLOG', rule_version, count(*) FROM e WHERE state IN ('PENDING', 'RETRY_WAIT', 'LEASED') GROUP BY 2 HAVING count(*) * 5 >= 1000 * 4""")
 def health_findings(spark, t):  # noqa: ANN001, ANN201
     episodes = _episodes(t).withColumnRenamed("rule_version", "rule")
     return health.findings(episodes, episodes.filter("kind = 'CHANGE' AND rule = 2"), _NOW + 2, 1000)
@@ -1028,3 +1028,50 @@ def health_drift(spark, t):  # noqa: ANN001, ANN201
 @query("SELECT l_orderkey, string_agg(CAST(l_suppkey AS VARCHAR), ',' ORDER BY l_linenumber, CAST(l_suppkey AS VARCHAR)) AS listed, count(*) AS n FROM lineitem GROUP BY l_orderkey")
 def ordered_list(spark, t):  # noqa: ANN001, ANN201
     return sharing.listed(t("lineitem"), ["l_orderkey"], "l_suppkey", "l_linenumber")
+
+
+@query(f"""WITH r AS ({_REACHED}), e AS (SELECT c_custkey FROM r WHERE c_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)),
+v AS (SELECT c_custkey, count(*) AS n FROM e JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey HAVING count(*) >= 12),
+s(relation, depth, rule, kind, name, cycle) AS (VALUES ('vip', 0, 'vip', 'SOURCE', 'customers', false), ('vip', 0, 'vip', 'INPUT', 'eligible', false), ('vip', 0, 'vip', 'AGGREGATE', 'count_star(*) of orders >= 12', false),
+  ('eligible', 1, 'eligible', 'SOURCE', 'customers', false), ('eligible', 1, 'eligible', 'INPUT', 'c', false), ('eligible', 1, 'eligible', 'NEGATIVE', 'blocked', false),
+  ('c', 2, 'c_seed', 'SOURCE', 'large_orders', false), ('c', 2, 'c_from_b', 'SOURCE', 'customers', false), ('c', 2, 'c_from_b', 'INPUT', 'b', false),
+  ('b', 3, 'b_from_c', 'SOURCE', 'customers', false), ('b', 3, 'b_from_c', 'INPUT', 'c', true), ('b', 3, 'b_from_a', 'SOURCE', 'customers', false), ('b', 3, 'b_from_a', 'INPUT', 'a', false), ('a', 4, 'a_seed', 'SOURCE', 'big_spenders', false))
+SELECT relation, c_custkey, depth, rule, kind, name, CASE WHEN kind = 'AGGREGATE' THEN CAST(n AS VARCHAR) END AS value, cycle FROM v, s
+WHERE (rule NOT IN ('b_from_a', 'a_seed') OR c_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 9000)) AND (rule <> 'c_seed' OR c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 450000))""")
+def fact_proof(spark, t):  # noqa: ANN001, ANN201
+    """What every eligible customer with a dozen orders rests on."""
+    vip = derive.Rule("vip", "vip", "customers", ("eligible",), aggregate=derive.Aggregate("orders", "count_star", None, ">=", 12))
+    program, sources = derive.Program((*_program().rules, vip), ("c_custkey",)), {**_program_sources(t), "orders": t("orders").select(F.col("o_custkey").alias("c_custkey"))}
+    facts = derive.evaluate(program, sources)
+    return derive.fact_proof(program, sources, facts, facts["vip"].withColumn("relation", F.lit("vip")))
+
+
+@query("""SELECT CASE WHEN missing + extra > 0 THEN 'STALE' ELSE 'CURRENT' END AS state, missing, extra FROM
+(SELECT count(*) AS missing FROM (SELECT l_orderkey, l_returnflag FROM lineitem EXCEPT ALL SELECT l_orderkey, l_linestatus FROM lineitem)), (SELECT count(*) AS extra FROM (SELECT l_orderkey, l_linestatus FROM lineitem EXCEPT ALL SELECT l_orderkey, l_returnflag FROM lineitem))""")
+def source_current(spark, t):  # noqa: ANN001, ANN201
+    """Two flags of line items, of which one takes the other's place; orders have several alike."""
+    return compare.source_current(t("lineitem").select("l_orderkey", F.col("l_returnflag").alias("flag")), t("lineitem").select("l_orderkey", F.col("l_linestatus").alias("flag")))
+
+
+@query(f"""WITH e AS ({_EPISODES}) SELECT rule_version AS rule, count(*) FILTER (WHERE state = 'PENDING') AS pending, count(*) FILTER (WHERE state = 'RETRY_WAIT') AS retry_wait, count(*) FILTER (WHERE state = 'LEASED') AS leased,
+count(*) FILTER (WHERE state = 'DONE') AS done, count(*) FILTER (WHERE state = 'FAILED') AS failed, count(*) FILTER (WHERE state = 'LEASED' AND lease_until <= {_NOW + 2}) AS expired_leases,
+coalesce(({_NOW + 2} - min(available_at) FILTER (WHERE state IN ('PENDING', 'RETRY_WAIT') AND available_at <= {_NOW + 2}))::DOUBLE / 1000000, 0) AS oldest_due_seconds FROM e GROUP BY rule_version""")
+def health_metrics(spark, t):  # noqa: ANN001, ANN201
+    return health.metrics(_episodes(t).withColumnRenamed("rule_version", "rule"), _NOW + 2)
+
+
+_SHAPED = " UNION ALL ".join("SELECT '{}' AS code, '{}' AS severity, {} AS blocking, '{}' AS message, '{}' AS hint".format(code, *(str(x).replace("'", "''") for x in m)) for code, m in health.MEANING.items())
+
+
+@query(f"""WITH m AS ({_SHAPED}), f AS ({ORACLE_SQL['health_findings']}) SELECT code, severity, blocking, CAST(rule AS VARCHAR) AS target, CAST(NULL AS VARCHAR) AS field, message, hint, '{{"n":' || n || '}}' AS details FROM f JOIN m USING (code)""")
+def finding_shape(spark, t):  # noqa: ANN001, ANN201
+    episodes = _episodes(t).withColumnRenamed("rule_version", "rule")
+    return health.shaped(health.findings(episodes, episodes.filter("kind = 'CHANGE' AND rule = 2"), _NOW + 2, 1000))
+
+
+@query(f"""WITH i AS (SELECT c_custkey, {_UUID} AS id FROM (SELECT o_custkey AS c_custkey, sha256(unhex('{_V}') || unhex('010100000008') || unhex(printf('%016X', o_orderkey))) AS d FROM orders))
+SELECT c_custkey, min(id) AS value, coalesce(min(id) < '20000000', false) AS truth FROM customer LEFT JOIN i USING (c_custkey) GROUP BY c_custkey""")
+def aggregate_uuid(spark, t):  # noqa: ANN001, ANN201
+    """The least activation id of each customer's orders; ids are compared as canonical text."""
+    ids = t("orders").select(F.col("o_custkey").alias("c_custkey"), identity.activation_id(VERSION, identity.canonical_bigint(F.col("o_orderkey"))).alias("id"))
+    return derive.aggregate_truth(t("customer"), ids, ["c_custkey"], derive.Aggregate("orders", "min", "id", "<", "20000000")).select("c_custkey", "value", "truth")

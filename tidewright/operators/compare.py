@@ -65,3 +65,19 @@ def checksum(rows: DataFrame) -> DataFrame:
     """
     text = F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in rows.columns))
     return rows.select(F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint").alias("h")).agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("h"), F.lit(0)).cast("bigint").alias("checksum"))
+
+
+def source_current(source: DataFrame, stored: DataFrame) -> DataFrame:
+    """One row: whether stored rows are still the source's. state, missing (only the source has them), extra (only stored).
+
+    SCHEMA_CHANGED: columns have other names or types, and rows are not compared. Else rows
+    are compared as multisets: STALE or CURRENT. Sums combine before the shuffle.
+    """
+    shape = lambda df: sorted((f.name, f.dataType.simpleString()) for f in df.schema)
+    if shape(source) != shape(stored):
+        return source.sparkSession.createDataFrame([("SCHEMA_CHANGED", None, None)], "state string, missing long, extra long")
+    both = source.withColumn("_n", F.lit(1)).unionByName(stored.withColumn("_n", F.lit(-1)))
+    left = both.groupBy(*source.columns).agg(F.sum("_n").alias("_n"))
+    none = F.lit(0).cast("bigint")
+    said = left.agg(F.coalesce(F.sum(F.greatest("_n", none)), none).alias("missing"), F.coalesce(F.sum(F.greatest(-F.col("_n"), none)), none).alias("extra"))
+    return said.select(F.when(F.col("missing") + F.col("extra") > 0, "STALE").otherwise("CURRENT").alias("state"), "missing", "extra")

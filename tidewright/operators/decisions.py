@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 COMPETITORS = 25
 
@@ -82,3 +83,28 @@ def lifecycle(previous: DataFrame, current: DataFrame, results: list[str] | None
         event((F.col("s1") == "NO_CANDIDATE") & (F.col("s0") != "NO_CANDIDATE"), "NO_CANDIDATE", "c1", g, r),
     )
     return both.select("subject", F.posexplode(F.filter(listed, lambda e: e.isNotNull())).alias("step", "e")).select("subject", "step", "e.*")
+
+
+#: Types that results may have, besides decimals.
+RESULT_TYPES = ("boolean", "smallint", "int", "bigint", "string", "date", "timestamp", "timestamp_ntz")
+
+
+def typing(schema: StructType, results: list[str]) -> list[tuple[str, str]]:
+    """(code, column) of what a candidate table's schema lacks; nulls are found in the rows, by violations().
+
+    CANDIDATE_COLUMN and RESULT_COLUMN: no such column; IDENTITY_TYPE and PRIORITY_TYPE: subject
+    and candidate, or priority, are not bigint; RESULT_TYPE: not a plain scalar.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in schema}
+    out = []
+    for name in ("subject", "candidate", "priority"):
+        if name not in kinds:
+            out.append(("CANDIDATE_COLUMN", name))
+        elif kinds[name] != "bigint":
+            out.append(("PRIORITY_TYPE" if name == "priority" else "IDENTITY_TYPE", name))
+    for name in results:
+        if name not in kinds:
+            out.append(("RESULT_COLUMN", name))
+        elif kinds[name] not in RESULT_TYPES and not kinds[name].startswith(("decimal(", "varchar(")):
+            out.append(("RESULT_TYPE", name))
+    return out

@@ -233,3 +233,48 @@ def negative_evidence(program: Program, facts: dict[str, DataFrame], sources: di
             one = _once(rule, facts, sources, list(program.key)).distinct().select("rule", F.lit(name).alias("relation"), *program.key, F.lit(strata[name]).alias("stratum"))
             out = one if out is None else out.union(one)
     return out
+
+
+def fact_proof(program: Program, sources: dict[str, DataFrame], facts: dict[str, DataFrame], wanted: DataFrame) -> DataFrame:
+    """What the wanted facts (relation, key) rest on, all the way down: relation, key, depth, rule, kind, name, value, cycle.
+
+    A fact has a row for each thing that each of its supports needs: SOURCE, the rule's own row; INPUT, a
+    fact that has rows of its own; NEGATIVE, a fact that is absent; AGGREGATE, a condition with its exact value. depth
+    is the number of steps from the nearest wanted fact. cycle marks an input that rests on
+    this very fact and is no deeper, where a walk would go round. Wanted facts that are none have no rows.
+    """
+    key, steps = list(program.key), None
+    for rule in program.rules:
+        one = _once(rule, facts, sources, key).distinct()
+        needs = [("SOURCE", rule.source), *(("INPUT", n) for n in rule.inputs), *(("NEGATIVE", n) for n in rule.negatives)]
+        value = F.lit(None).cast("string")
+        if (a := rule.aggregate) is not None:
+            truth = aggregate_truth(one, facts[a.items] if a.items in facts else sources[a.items], key, a)
+            one, value = one.join(truth.select(*key, F.col("value").cast("string").alias("value")), key), F.col("value")
+            needs.append(("AGGREGATE", f"{a.fn}({a.column or '*'}) of {a.items} {a.op} {a.threshold}"))
+        listed = F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(n).alias("name"), F.when(F.lit(k == "AGGREGATE"), value).alias("value")) for k, n in needs))
+        made = one.select(F.lit(rule.target).alias("relation"), *key, "rule", F.explode(listed).alias("s")).select("relation", *key, "rule", "s.*")
+        steps = made if steps is None else steps.unionByName(made)
+    steps, fact = written(steps, "steps"), ["relation", *key]
+    rests = written(steps.filter("kind = 'INPUT'").select(*fact, "name").distinct(), "rests")
+    level = written(wanted.select(*fact).distinct().withColumn("depth", F.lit(0)), "level")
+    reached = level
+    for d in range(1, len(program.relations)):  # a walk without a cycle has no more steps
+        below = level.join(rests, fact).select(F.col("name").alias("relation"), *key).distinct()
+        level = written(below.join(reached, fact, "left_anti").withColumn("depth", F.lit(d)), "level")
+        if not level.limit(1).count():
+            break
+        reached = reached.unionByName(level)
+    proven = steps.join(reached, fact)
+    loops = [p for p in program.components() if len(p) > 1 or (p[0], p[0], "POSITIVE") in program.edges()]
+    if not loops:
+        return proven.select(*fact, "depth", "rule", "kind", "name", "value", F.lit(False).alias("cycle"))
+    inner = rests.filter(reduce(Column.__or__, (F.col("relation").isin(*p) & F.col("name").isin(*p) for p in loops)))
+    above = inner.select(*key, F.col("relation").alias("upper"), F.col("name").alias("lower"))
+    for _ in range(max(map(len, loops)) - 1):  # pairs of a key are pairs of the program's relations
+        more = above.join(inner.select(*key, F.col("relation").alias("lower"), "name"), [*key, "lower"]).select(*key, "upper", F.col("name").alias("lower"))
+        above = written(above.union(more).distinct(), "above")
+    back = above.select(*key, F.col("upper").alias("name"), F.col("lower").alias("relation"), F.lit("INPUT").alias("kind"), F.lit(True).alias("back"))
+    met = reached.select(*key, F.col("relation").alias("name"), F.lit("INPUT").alias("kind"), F.col("depth").alias("at"))
+    marked = proven.join(met, [*key, "name", "kind"], "left").join(back, [*fact, "name", "kind"], "left")
+    return marked.select(*fact, "depth", "rule", "kind", "name", "value", F.coalesce(F.col("back") & (F.col("at") <= F.col("depth")), F.lit(False)).alias("cycle"))
